@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import parts, stage, table, texts
+from headway.llm import files
+from headway.llm.common import parts, shared_dir, stage, table, texts
 
 #: Fixed value: the word pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,7 +30,7 @@ LATIN = f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?
 LATIN_TEXT = "[\x20-\x7e\t\n\r\f\xa1-ɏ]*"
 #: The largest vocabulary whose pieces are broadcast.
 MAX_PIECES = 2_000_000
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 ENCODED = "doc_id long, ids binary"
 
 
@@ -83,10 +84,11 @@ def _un(b: bytes, dtype=None):
 
 
 _CHUNK = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())])
+_CODED = "chunk string, bucket int, n int, docs binary, lens binary, body binary"
 
 
-def _number(buckets: int, specials: list[str], chunk_chars: int):
-    """Batches of texts -> for each chunk a row of word numbers (bucket -1) and rows of its distinct words by bucket."""
+def _number(buckets: int, specials: list[str], chunk_chars: int, folder: str):
+    """Batches of texts -> for each chunk a row (bucket -1) and rows of its distinct words by bucket; the word numbers stay in a file of the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
@@ -106,14 +108,15 @@ def _number(buckets: int, specials: list[str], chunk_chars: int):
             rank[order] = np.arange(len(raw), dtype=np.uint32)
             numbers = rank[np.concatenate(codes)] if len(raw) else np.zeros(0, np.uint32)
             name = f"{part}-{seq}"
-            rows = [(name, -1, len(ids), _z(np.array(ids, np.int64)), _z(np.array(lens, np.uint32)), _z(numbers))]
+            files.write(folder, name, _z(numbers))
+            rows = [(name, -1, len(ids), _z(np.array(ids, np.int64)), _z(np.array(lens, np.uint32)), None)]
             at = np.flatnonzero(np.diff(of[order], prepend=-1)).tolist() if len(raw) else []
             for a, b in zip(at, [*at[1:], len(raw)]):
                 own = [raw[i] for i in order[a:b].tolist()]
                 rows.append((name, int(of[order[a]]), b - a, None, _z(np.fromiter(map(len, own), np.uint32, b - a)), _z(b"".join(own))))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNK)], schema=_CHUNK)
 
-        for batch in batches:
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = words(text)
                 ids.append(doc if doc is not None else -(2**63))
@@ -144,7 +147,8 @@ def _encode_bucket(spec):
             ends = np.cumsum(_un(lens, np.uint32).astype(np.int64)).tolist()
             raw = _un(body)
             rows.append((name, [index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends], ends)]))
-        coded = [np.array(e.ids, np.uint32) for e in tok.encode_batch([w.decode("utf-8") for w in index], add_special_tokens=False)]
+        distinct = [w.decode("utf-8") for w in index]
+        coded = [np.array(e.ids, np.uint32) for k in range(0, len(distinct), 1000) for e in tok.encode_batch(distinct[k : k + 1000], add_special_tokens=False)]
         out = [(name, [coded[i] for i in of]) for name, of in rows]
         return pa.table({
             "chunk": pa.array([n for n, _ in out], pa.string()), "bucket": t["bucket"],
@@ -155,9 +159,10 @@ def _encode_bucket(spec):
     return run
 
 
-def _join(key, left: pa.Table, right: pa.Table) -> pa.Table:
+def _join(folder: str, left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk's word numbers and its words' ids -> the ids of each document."""
-    docs, lens, numbers = (_un(left[c][0].as_py(), d) for c, d in (("docs", np.int64), ("lens", np.uint32), ("body", np.uint32)))
+    docs, lens = _un(left["docs"][0].as_py(), np.int64), _un(left["lens"][0].as_py(), np.uint32)
+    numbers = _un(files.read(f"{folder}/{left['chunk'][0].as_py()}"), np.uint32)
     answers = sorted(zip(right["bucket"].to_pylist(), right["lens"].to_pylist(), right["body"].to_pylist()))
     size = np.concatenate([_un(x, np.uint32) for _, x, _ in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
     flat = np.concatenate([_un(x, np.uint32) for *_, x in answers] or [np.zeros(0, np.uint32)])
@@ -182,9 +187,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, chunk_chars: int = CHU
     specials = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
     held = spark.sparkContext.broadcast(spec)
     buckets = 2 * parts(spark)
-    rows = stage(texts(docs).mapInArrow(_number(buckets, specials, chunk_chars), "chunk string, bucket int, n int, docs binary, lens binary, body binary"), "none")
+    folder = shared_dir(spark)
+    rows = stage(texts(docs).mapInArrow(_number(buckets, specials, chunk_chars, folder), _CODED), "none")
     coded = rows.where("bucket >= 0").select("chunk", "bucket", "lens", "body").groupBy("bucket").applyInArrow(_encode_bucket(held), "chunk string, bucket int, lens binary, body binary")
-    return rows.where("bucket < 0").select("chunk", "docs", "lens", "body").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_join, ENCODED)
+    return rows.where("bucket < 0").select("chunk", "docs", "lens").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _join(folder, left, right), ENCODED)
 
 
 def pieces(tokenizer: str | None = None) -> dict[int, bytes]:
