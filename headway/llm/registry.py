@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from headway.llm import bpe, tokenfile
+from headway.llm import bpe, suffix_array, suffix_tree, tokenfile
 
-MODULES = (bpe, tokenfile)
+MODULES = (bpe, suffix_array, suffix_tree, tokenfile)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
