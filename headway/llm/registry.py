@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from headway.llm import bpe, suffix_array, suffix_tree, tokenfile
+from headway.llm import bpe, decontaminate, licenses, minhash, paragraph_sketch, quality, suffix_array, suffix_tree, tokenfile, warc
 
-MODULES = (bpe, suffix_array, suffix_tree, tokenfile)
+MODULES = (suffix_array, minhash, paragraph_sketch, licenses, tokenfile, warc, bpe, quality, decontaminate, suffix_tree)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

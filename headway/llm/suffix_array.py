@@ -14,8 +14,9 @@ documents of their own, in reading order; a null doc_id comes first. Extra colum
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import repeats
@@ -147,6 +148,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, carried: list[str] = (), **more
     return repeats.removed(docs, plan(length, **more), _cut, "n_bytes long, n_removed long, n_spans long, kept binary", list(carried))
 
 
+@F.pandas_udf("string")
+def _repaired(x: pd.Series) -> pd.Series:
+    return x.map(lambda b: b.decode("utf-8", "ignore"))
+
+
+def as_text(kept: str) -> Column:
+    """Kept bytes as text, without the rests of characters that a cut went through."""
+    return F.when(F.is_valid_utf8(F.col(kept).cast("string")), F.col(kept).cast("string")).otherwise(_repaired(kept))
+
+
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
