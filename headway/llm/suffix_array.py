@@ -148,14 +148,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, carried: list[str] = (), **more
     return repeats.removed(docs, plan(length, **more), _cut, "n_bytes long, n_removed long, n_spans long, kept binary", list(carried))
 
 
-@F.pandas_udf("string")
-def _repaired(x: pd.Series) -> pd.Series:
-    return x.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def as_text(kept: str) -> Column:
     """Kept bytes as text, without the rests of characters that a cut went through."""
-    return F.when(F.is_valid_utf8(F.col(kept).cast("string")), F.col(kept).cast("string")).otherwise(_repaired(kept))
+
+    def repaired(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return F.pandas_udf(repaired, "string")(kept)
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
