@@ -5,18 +5,20 @@ representative. Each class has `BANDS * BAND` MinHash samples. Bands of equal sa
 sketch (a parity bitmap of the samples, folded) bounds from the XOR population count how many samples of
 a pair can differ, which drops pairs far below the threshold. What is left is confirmed on full sets.
 
-Bands don't compare all pairs. Round one compares each class with one hub of its bucket, the class whose
-samples agree most with the bucket's majority; links join components. Later rounds take a bucket's
-components that still differ: the members outside its largest component are compared with every member
-of another component, in blocks; small and large buckets alike, so no candidate is left out.
+Bands don't compare pairs. Classes that share a band belong to one cluster (the components of each
+bucket's links to its least member). A cluster's sketches and sets meet in one task, which tries pairs in
+order of their sketches' distance and leaves out those that are already linked; clusters of more than
+CLUSTER classes are dealt into blocks, and each two blocks meet in a task, so that no pair is left out
+and no task holds more than two blocks. Only links of a spanning forest come back.
 
-With 40 bands of four samples a pair of similarity 0.8 is missed with probability 7e-10. Null, empty and
+With 56 bands of six samples a pair of similarity 0.8 is missed with probability 4e-8. Null, empty and
 blank texts have empty sets and link with nothing. Rows that repeat a doc_id count as one document for
 links (the union of their links) and each give a row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +30,18 @@ from headway.llm.bpe import _un, _z
 from headway.llm.common import parts, stage, table, texts
 from headway.llm.suffix_tree import units
 
-BANDS, BAND = 40, 4
+BANDS, BAND = 56, 6
 SAMPLES = BANDS * BAND
 #: Bits of an odd sketch.
-ODD = 1024
+ODD = 2048
+#: Classes of a cluster that meet in one task.
+CLUSTER = 2048
 PERCENT = 80
 U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(77)
 _MUL, _ADD = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) | U(1), _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
-SIGNED = "doc_id long, n_shingles long, class string, bands array<long>, samples binary, odd binary"
+SIGNED = "doc_id long, n_shingles long, class string, bands array<long>, odd binary"
 #: Samples that may differ in a linked pair: the mean at the threshold and six standard deviations.
 MOST_DIFFER = int(SAMPLES * (1 - PERCENT / 100) + 6 * (SAMPLES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 
@@ -74,29 +78,26 @@ def odd_sketch(m: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _class(s: np.ndarray) -> str | None:
+    """Equal for equal sets; none for the empty set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
+
+
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in (x.slice(k, 200) for x in batches for k in range(0, x.num_rows, 200)):
             raw = [x.encode() for x in b.column(1).to_pylist()]
             sets = shingles(raw, words)
             m = [samples(s) if len(s) else None for s in sets]
             keys = [None if x is None else ((x.reshape(BANDS, BAND).astype(U) * _MUL[:BAND]).sum(axis=1, dtype=U) * U(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=U)).view(np.int64) for x in m]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array([None if x is None else x.tobytes() for x in m], pa.binary()), pa.array([None if x is None else odd_sketch(x) for x in m], pa.binary()),
-            ], ["doc_id", "n_shingles", "class", "bands", "samples", "odd"])
+                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.string()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array([None if x is None else odd_sketch(x) for x in m], pa.binary()),
+            ], ["doc_id", "n_shingles", "class", "bands", "odd"])
 
     return run
 
 
-def _apart(a: str, b: str):
-    """Whether two odd sketches differ by too many bits: a differing sample changes two bits at most."""
-    words = [f"bit_count(cast(conv(hex(substr({a}, {k + 1}, 7)), 16, 10) as bigint) ^ cast(conv(hex(substr({b}, {k + 1}, 7)), 16, 10) as bigint))" for k in range(0, ODD // 8, 7)]
-    return F.expr(" + ".join(words)) > 2 * MOST_DIFFER
-
-
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root: the least node of each component, by alternating star contractions (large, then small)."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -115,70 +116,76 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _confirm(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(k, 500) for x in batches for k in range(0, x.num_rows, 500)):
-            sets = [[np.frombuffer(_un(x), U) for x in b.column(c).to_pylist()] for c in ("sa", "sb")]
-            ok = []
-            for x, y in zip(*sets):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-
-    return run
+def _links(t: pa.Table) -> pa.Table:
+    """The classes of a cluster, or of two blocks of it -> links of a spanning forest."""
+    node, block = t["node"].to_numpy(), t["block"].to_numpy()
+    sets = [np.frombuffer(_un(x), U) for x in t["set"].to_pylist()]
+    odd = np.stack([np.frombuffer(x, U) for x in t["odd"].to_pylist()])
+    size, root, out = np.array([len(x) for x in sets]), list(range(len(node))), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    found = []
+    for k in range(0, len(node), 64):
+        apart = np.bitwise_count(odd[k : k + 64, None] ^ odd[None]).sum(axis=2, dtype=np.int64)
+        x, y = np.nonzero(apart <= 2 * MOST_DIFFER)  # a differing sample changes two bits at most
+        x += k
+        own = (x < y) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
+        if (block != block[0]).any():
+            own &= block[x] != block[y]
+        x, y = x[own], y[own]
+        found.append(np.stack([apart[x - k, y], x, y]))
+    pairs = np.concatenate(found, axis=1)
+    for x, y in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
+        a, b = find(x), find(y)
+        if a == b:
+            continue
+        same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * same >= PERCENT * (len(sets[x]) + len(sets[y]) - same):
+            root[a] = b
+            out.append((int(node[x]), int(node[y])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(k, 200) for x in batches for k in range(0, x.num_rows, 200)):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_z(s) for s in shingles([x.encode() for x in b.column(1).to_pylist()], words)], pa.binary())], ["node", "set"])
+            sets = shingles([x.encode() for x in b.column(1).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_class(s) for s in sets], pa.string()), pa.array([_z(s) for s in sets], pa.binary())], ["node", "class", "set"])
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return x.select("a", "b", "sa", "sb").mapInArrow(_confirm(words), "a long, b long")
-
-
-def classes(docs: DataFrame, words: int = 5) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, cluster: int = CLUSTER) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of each row."""
     spark = docs.sparkSession
     rows = texts(docs)
     signed = stage(rows.mapInArrow(_sign(words), SIGNED))
     ids = signed.select("doc_id", "n_shingles", "class")
     # equal sets are one node, named by their least doc_id
-    least = ids.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"))
+    least = ids.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"))
     least = stage(least)
     nodes = signed.join(least.select("class", F.col("node").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class"])
-    nodes = nodes.select(F.col("doc_id").alias("node"), "bands", "samples", "odd")
+    nodes = nodes.select(F.col("doc_id").alias("node"), "bands", "odd")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    banded = stage(banded.join(shared, "band").select("node", "band", "n"))
-    asked = banded.select("node").distinct()
-    sets = stage(rows.withColumnRenamed("doc_id", "node").join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"))
-    odd = stage(nodes.join(asked, "node", "left_semi").select("node", "odd", "samples"))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(odd.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
-        return both.where(~_apart("oa", "ob")).select("a", "b")
-
-    # round one: a hub for each bucket, the member that is in most buckets of more than one (then the least)
-    degree = banded.groupBy("node").agg(F.sum("n").alias("degree"))
-    hubs = banded.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("h")).select("band", (-F.col("h.least")).alias("hub"))
-    links = stage(linked(candidates(banded.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))), sets, words))
-    root = stage(components(links, asked))
-    # what a bucket's largest component leaves is compared with all its other components' members
-    placed = banded.join(root, "node")
-    per = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", F.col("m.root").alias("main"))
-    placed = placed.join(most, "band").select("band", "node", "root", "main")
-    rest = placed.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    pairs = rest.join(placed.select("band", F.col("node").alias("b"), "root"), "band").where("ra <> root").select("a", "b")
-    more = stage(linked(candidates(pairs), sets, words))
-    links = links.unionByName(more)
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
+    near = stage(banded.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    clusters = components(near, ends)
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(cluster)).cast("int").alias("blocks"))
+    placed = stage(clusters.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    # of rows that repeat a doc_id, each set is a node's only if its class has that name
+    asked = placed.join(least, "node").select("node", "class")
+    sets = rows.withColumnRenamed("doc_id", "node").join(asked.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(words), "node long, class string, set binary")
+    sets = sets.join(asked, ["node", "class"], "left_semi").dropDuplicates(["node"])
+    held = placed.join(nodes.select("node", "odd"), "node").join(sets.drop("class"), "node")
+    # each block meets itself and every other
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
+    held = held.select("node", "root", "block", "odd", "set", met.alias("m")).select("node", "root", "block", "odd", "set", "m.i", "m.j")
+    links = stage(held.groupBy("root", "i", "j").applyInArrow(_links, "a long, b long"))
     named = ids.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
     # a doc_id that stands in several rows ties their nodes together
     tied = named.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

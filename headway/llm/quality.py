@@ -32,6 +32,8 @@ MAX_LABELLED, MAX_WORDS = 20_000, 200
 DIMENSIONS = 2**30
 #: A feature's log-odds must be so many standard errors away from nothing, and so large; the model has so many at most.
 SIGNIFICANT, STRONG, MODEL = 5.0, 2.0, 4096
+#: Groups of near copies that must share a feature, at least.
+GROUPS = 5
 #: The largest rate of false votes of a labeller on good documents.
 FALSE = 0.003
 #: Common insults.
@@ -88,6 +90,14 @@ class Batch:
             np.bincount(self.of, weights=same, minlength=self.n) > 0.1 * np.maximum(some, 10),
         ], axis=1)
 
+    def groups(self) -> np.ndarray:
+        """The least word hash of each text, which near copies mostly share."""
+        out = np.zeros(self.n, U)
+        if len(self.of):
+            at = np.flatnonzero(np.diff(self.of, prepend=-1))
+            out[self.of[at]] = np.minimum.reduceat(self.words, at)
+        return repeats.mixed(out)
+
     def votes(self, given: np.ndarray, learned: np.ndarray) -> np.ndarray:
         return np.concatenate([self.junk, self.toxic(given, learned)], axis=1).astype(np.int64)
 
@@ -112,12 +122,14 @@ def insult_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "toxic").limit(most).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = texts(docs).join(F.broadcast(some), "doc_id")  # `most` rows of two numbers
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}']+"), F.lit(0)))).alias("word"))
+    words = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}']+"), F.lit(0))).alias("w"))
+    # near copies mostly share their least word hash, and count once
+    words = words.select("toxic", F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("group"), F.explode("w").alias("word"))
     n = {r.toxic: r.n for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return []
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    chosen = counts.where((F.col("a") >= max(3, 0.1 * n[1])) & (F.col("a") / n[1] > 20 * (F.col("b") + 1) / (n[0] + 1)))
+    counts = words.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("group"))).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    chosen = counts.where((F.col("a") >= max(3, 0.01 * n[1])) & (F.col("a") / n[1] > 20 * (F.col("b") + 1) / (n[0] + 1)))
     return [r.word for r in chosen.orderBy(F.desc("a"), "word").limit(MAX_WORDS).collect()]
 
 
@@ -141,29 +153,38 @@ def em(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple[dict[
     return dict(zip(codes.tolist(), post.tolist())), hit, false
 
 
-_COUNTS = "pattern int, feature int, n long"
+_COUNTS = "pattern int, feature int, n long, bits long"
 
 
 def _count(given: np.ndarray, learned: np.ndarray):
-    """Counts of documents by vote pattern (feature -1) and by pattern and feature, a row for each in a task."""
+    """Counts of documents by vote pattern (feature -1) and by pattern and feature, a row for each in a task.
+
+    bits has a bit for each group of near copies (by their least word hash), to tell how many groups there are at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
+        held, size = [none], 0
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+        def summed() -> tuple[np.ndarray, ...]:
+            keys, n, bits = (np.concatenate(x) for x in zip(*held))
+            if not len(keys):
+                return none
+            order = np.argsort(keys, kind="stable")
+            at = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            return keys[order][at], np.add.reduceat(n[order], at), np.bitwise_or.reduceat(bits[order], at)
 
         for b in (x.slice(k, 400) for x in batches for k in range(0, x.num_rows, 400)):
             own = Batch([x.encode() for x in b.column(0).to_pylist()])
             votes = own.votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
             doc, feature = own.features()
-            held.append(np.unique(np.concatenate([votes << 32, (votes[doc] << 32) + feature + 1]), return_counts=True))
+            bit = U(1) << (own.groups() & U(63))
+            held.append((np.concatenate([votes << 32, (votes[doc] << 32) + feature + 1]), np.ones(own.n + len(doc), np.int64), np.concatenate([bit, bit[doc]])))
             size += len(held[-1][0])
             if size > 2_000_000:
                 held, size = [summed()], 0
-        keys, totals = summed()
-        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(((keys & (2**32 - 1)) - 1).astype(np.int32)), pa.array(totals)], ["pattern", "feature", "n"])
+        keys, totals, bits = summed()
+        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(((keys & (2**32 - 1)) - 1).astype(np.int32)), pa.array(totals), pa.array(bits.view(np.int64))], ["pattern", "feature", "n", "bits"])
 
     return run
 
@@ -172,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame | None) -> dict:
     """The scorer: for each of junk and toxicity a bias and weights, with the labellers' estimated rates."""
     learned = insult_words(docs, labels) if labels is not None else []
     words = hashed(list(INSULTS)), hashed(learned)
-    counts = stage(texts(docs).select("text").mapInArrow(_count(*words), _COUNTS).groupBy("pattern", "feature").agg(F.sum("n").alias("n")))
+    counts = stage(texts(docs).select("text").mapInArrow(_count(*words), _COUNTS).groupBy("pattern", "feature").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")))
     patterns = {r.pattern: r.n for r in counts.where("feature = -1").collect()}  # 512 at most
     total, out = sum(patterns.values()), {"words": words, "learned": learned}
     for name, first, k in (("junk", 0, len(JUNK)), ("toxic", len(JUNK), len(TOXIC))):
@@ -187,9 +208,9 @@ def train(docs: DataFrame, labels: DataFrame | None) -> dict:
         found = []
         if total:
             weight = F.create_map(*(F.lit(x) for p in each for x in (p, each[p])))
-            rows = counts.where("feature >= 0").groupBy("feature").agg(F.sum(F.col("n") * weight[F.col("pattern")]).alias("a"), F.sum("n").alias("n"))
+            rows = counts.where("feature >= 0").groupBy("feature").agg(F.sum(F.col("n") * weight[F.col("pattern")]).alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or(F.when(weight[F.col("pattern")] > 0.5, F.col("bits")))).alias("groups"))
             odds = F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("a") + 0.5) / (total - n1 + 1)))
-            rows = rows.select("feature", odds.alias("w"), (odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))).alias("z"))
+            rows = rows.where(F.col("groups") >= GROUPS).select("feature", odds.alias("w"), (odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))).alias("z"))
             found = rows.where((F.col("z") > SIGNIFICANT) & (F.col("w") > STRONG)).orderBy(F.desc("z"), "feature").limit(MODEL).collect()
         found = sorted((r.feature, min(r.w, 8.0)) for r in found)
         votes = np.zeros(len(JUNK) + len(TOXIC))

@@ -45,6 +45,7 @@ def test_edges(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(df, 4).collect()}
     assert got == brute(rows, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(df, 4, cluster=7).collect()} == got
     kept = minhash.dedup(df, 4)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, (_, c) in brute(rows, 4).items() if c == d}
     assert minhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
