@@ -31,7 +31,7 @@ from headway.llm.suffix_tree import _BLANK, _BYTES
 MAX_LABELLED, MAX_WORDS = 20_000, 200
 DIMENSIONS = 2**30
 #: A feature's log-odds must be so many standard errors away from nothing, and so large; the model has so many at most.
-SIGNIFICANT, STRONG, MODEL = 5.0, 2.0, 4096
+SIGNIFICANT, STRONG, MODEL = 5.0, 4.0, 4096
 #: Groups of near copies that must share a feature, at least.
 GROUPS = 5
 #: The largest rate of false votes of a labeller on good documents.
@@ -129,7 +129,7 @@ def insult_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
     if not n.get(1) or not n.get(0):
         return []
     counts = words.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("group"))).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    chosen = counts.where((F.col("a") >= max(3, 0.01 * n[1])) & (F.col("a") / n[1] > 20 * (F.col("b") + 1) / (n[0] + 1)))
+    chosen = counts.where((F.col("a") >= max(3, 0.01 * n[1])) & (F.col("a") / n[1] > 200 * F.col("b") / n[0]))
     return [r.word for r in chosen.orderBy(F.desc("a"), "word").limit(MAX_WORDS).collect()]
 
 
