@@ -34,8 +34,9 @@ def asof_next(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -
     both = left.select("*", F.lit(None).cast("long").alias("next_at"), F.lit(None).cast("long").alias("next"), F.lit(0).alias("side")).unionByName(
         right.select(by, at, F.col(at).cast("long").alias("next_at"), F.col(value).cast("long").alias("next"), F.lit(1).alias("side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(by).orderBy(at, "side", "next").rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumns({"next_at": F.first("next_at", ignorenulls=True).over(w), "next": F.first("next", ignorenulls=True).over(w)})
+    # backwards in time, so that the frame only grows
+    w = Window.partitionBy(by).orderBy(F.desc(at), F.desc("side"), F.desc("next")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({"next_at": F.last("next_at", ignorenulls=True).over(w), "next": F.last("next", ignorenulls=True).over(w)})
     return out.where("side = 0").drop("side")
 
 
