@@ -28,7 +28,7 @@ from headway.llm.common import stage, table, texts
 from headway.llm.suffix_tree import _BLANK, _BYTES
 
 #: Labelled rows that the insult words are read from, and how many words at most.
-MAX_LABELLED, MAX_WORDS = 20_000, 200
+MAX_LABELLED, MAX_WORDS = 4_000, 200
 DIMENSIONS = 2**30
 #: A feature's log-odds must be so many standard errors away from nothing, and so large; the model has so many at most.
 SIGNIFICANT, STRONG, MODEL = 5.0, 4.0, 4096
@@ -81,7 +81,9 @@ class Batch:
         if len(start):
             double = (end - start > 2) & (body[end - 1] == body[end - 2]) & (_CLASS[body[end - 1]] != 97) & (_CLASS[body[end - 1]] != 48) & (_CLASS[body[end - 1]] != 65)
         alone = (end - start == 1) & ~np.isin(_CLASS[body[start]], [97, 65, 48]) if len(start) else double
-        different = np.bincount(np.unique(np.stack([self.of.astype(U), self.words]), axis=1)[0].astype(np.int64), minlength=self.n) if len(start) else words
+        order = np.lexsort((self.words, self.of))
+        o, w = self.of[order], self.words[order]
+        different = np.bincount(o[np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])] if len(o) else o, minlength=self.n)
         often = words > 20
         same = np.concatenate([[False], (self.words[1:] == self.words[:-1]) & (self.of[1:] == self.of[:-1])]) if len(start) else double
         self.junk = np.stack([
@@ -207,8 +209,9 @@ def train(docs: DataFrame, labels: DataFrame | None) -> dict:
         bias = float(np.log((n1 + 1) / (total - n1 + 1)))
         found = []
         if total:
-            weight = F.create_map(*(F.lit(x) for p in each for x in (p, each[p])))
-            rows = counts.where("feature >= 0").groupBy("feature").agg(F.sum(F.col("n") * weight[F.col("pattern")]).alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or(F.when(weight[F.col("pattern")] > 0.5, F.col("bits")))).alias("groups"))
+            spark = docs.sparkSession
+            post_of = F.broadcast(spark.createDataFrame([(int(p), float(x)) for p, x in each.items()], "pattern int, post double"))  # 512 rows at most
+            rows = counts.where("feature >= 0").join(post_of, "pattern").groupBy("feature").agg(F.sum(F.col("n") * F.col("post")).alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or(F.when(F.col("post") > 0.5, F.col("bits")))).alias("groups"))
             odds = F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("a") + 0.5) / (total - n1 + 1)))
             rows = rows.where(F.col("groups") >= GROUPS).select("feature", odds.alias("w"), (odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))).alias("z"))
             found = rows.where((F.col("z") > SIGNIFICANT) & (F.col("w") > STRONG)).orderBy(F.desc("z"), "feature").limit(MODEL).collect()
