@@ -126,7 +126,7 @@ def insult_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
     rows = texts(docs).join(F.broadcast(some), "doc_id")  # `most` rows of two numbers
     words = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}']+"), F.lit(0))).alias("w"))
     # near copies mostly share their least word hash, and count once
-    words = words.select("toxic", F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("group"), F.explode("w").alias("word"))
+    words = words.select("toxic", F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("group"), "w").select("toxic", "group", F.explode("w").alias("word"))
     n = {r.toxic: r.n for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return []
