@@ -354,4 +354,6 @@ def removed(docs: DataFrame, plan: Plan, apply: Callable, schema: str, carried:
         return pa.table({c: t[c] for c in ("doc_id", *kinds)} | made)
 
     out = ", ".join(["doc_id long", *(f"`{c}` {t}" for c, t in kinds.items()), schema])
-    return scanned.where("kind = 'chunk'").select("key").groupBy("key").cogroup(cuts.groupBy("key")).applyInArrow(cut, out)
+    # a row stands for a whole chunk file here, so that row sizes must not decide how many tasks there are
+    chunks = scanned.where("kind = 'chunk'").select("key").repartition(buckets, "key")
+    return chunks.groupBy("key").cogroup(cuts.repartition(buckets, "key").groupBy("key")).applyInArrow(cut, out)
