@@ -2,8 +2,8 @@
 
 Texts and items are lower-cased with single blanks. An item may occur with up to `rate` times its length
 in edits, its budget k. Cut into k + 1 pieces, one of them must occur exactly: an Aho-Corasick automaton
-finds all pieces in one pass over a text, and each hit's surroundings are verified with Myers'
-bit-parallel distance. Items come in blocks of `block_chars` characters at most (one item at least), each
+finds all pieces in one pass over a text, and the surroundings of an item's hits, where they overlap as one
+stretch, are verified with Myers' bit-parallel distance. Items come in blocks of `block_chars` characters at most (one item at least), each
 broadcast by itself and matched against all documents.
 
 Returns a row for each document and item that match: doc_id, item_id, distance, the least found. Items that
@@ -12,6 +12,7 @@ are null or without a word match nothing. Rows that repeat a doc_id or an item_i
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -64,6 +65,15 @@ def distance(pattern: str, text: str) -> int:
     return best
 
 
+def widen(spans: list[tuple[int, int]], start: int, stop: int) -> None:
+    """Adds a stretch to sorted stretches that don't touch; those that it meets become one."""
+    i = bisect_left(spans, start, key=lambda x: x[1])
+    j = bisect_right(spans, stop, key=lambda x: x[0])
+    if i < j:
+        start, stop = min(start, spans[i][0]), max(stop, spans[j - 1][1])
+    spans[i:j] = [(start, stop)]
+
+
 def _automaton(items: list[tuple[int, str]], rate: float):
     import ahocorasick
 
@@ -88,20 +98,21 @@ def _match(held, rate: float):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = normal(raw)
                 best: dict[int, int] = {}
-                tried: dict[int, int] = {}  # the end of what an item was last compared with
+                spans: dict[int, list[tuple[int, int]]] = {}
                 for end, (size, places) in found.iter(text):
                     for n, at in places:
                         if best.get(n) == 0:
                             continue
-                        k, item = budgets[n], items[n][1]
-                        start = max(0, end + 1 - size - at - k)
-                        stop = min(len(text), end + 1 - size - at + len(item) + k)
-                        if tried.get(n, -1) >= stop:
-                            continue  # hits of the item come in order, so that this stretch was in the last one
-                        d = 0 if text.startswith(item, end + 1 - size - at) and end + 1 - size >= at else distance(item, text[start:stop])
-                        tried[n] = stop if d else len(text)
-                        if d <= k:
-                            best[n] = min(d, best.get(n, d))
+                        k, item, start = budgets[n], items[n][1], end + 1 - size - at
+                        if start >= 0 and text.startswith(item, start):
+                            best[n] = 0
+                            spans.pop(n, None)
+                        else:
+                            widen(spans.setdefault(n, []), max(0, start - k), min(len(text), start + len(item) + k))
+                for n, held_spans in spans.items():
+                    d = min(distance(items[n][1], text[a:z]) for a, z in held_spans)
+                    if d <= budgets[n]:
+                        best[n] = d
                 out += [(doc, items[n][0], d) for n, d in best.items()]
             if out:
                 cols = list(zip(*out))

@@ -57,6 +57,29 @@ def test_edges(spark):
     assert D.matches(none, b).count() == 0 and D.matches(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_repeating_items(spark):
+    """Items whose pieces recur, edited near their start: a hit may imply a later place than the true one."""
+    rng = random.Random(5)
+    line = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    items, docs = [], []
+    for i in range(12):
+        k = 10
+        cuts = [200 * j // (k + 1) for j in range(k + 2)]
+        own = [line(b - a) for a, b in zip(cuts, cuts[1:])]
+        own[2] = own[0][: len(own[2])] + line(len(own[2]) - len(own[0]))
+        own[0] = own[2][: len(own[0])]
+        if i % 3 == 0:
+            own[5] = own[1][: len(own[5])] + line(len(own[5]) - len(own[1]))
+        text = "".join(own)
+        items.append((i, text))
+        for n in (2, 5, 11):
+            at = sorted(rng.sample(range(2, 34), n))
+            docs.append((100 * i + n, line(60) + "".join("z" if x in at else c for x, c in enumerate(text)) + line(60)))
+        docs.append((100 * i + 50, own[0] * 3 + line(40) + text[:4] + "zz" + text[6:20] + "z" + text[21:]))
+    got = {(r.doc_id, r.item_id): r.distance for r in D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and len(got) >= 36
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, D.normal(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
