@@ -1,7 +1,7 @@
 """A training-data pipeline: each stage works on all that the one before kept.
 
-Stages 1 to 4 return the columns of documents. Rows that repeat a doc_id meet in the near-duplicate stage,
-which keeps one; nulls are empty texts. n_chars follows the text.
+Stages 1 to 4 return the columns of documents. Rows are told apart by their texts: rows without a doc_id, or
+that repeat one, are judged each by itself; nulls are empty texts. n_chars follows the text.
 """
 
 from __future__ import annotations

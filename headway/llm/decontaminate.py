@@ -89,7 +89,9 @@ def _automaton(items: list[tuple[int, str]], rate: float):
     return found, budgets
 
 
-def _match(held, rate: float):
+def _match(held, rate: float, ident: pa.DataType = pa.int64()):
+    """A row for each row (of a key and a text) and item that match; ident is the key's type."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         found, budgets = _automaton(items, rate)
@@ -116,7 +118,7 @@ def _match(held, rate: float):
                 out += [(doc, items[n][0], d) for n, d in best.items()]
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], ident), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], [b.schema.names[0], "item_id", "distance"])
 
     return run
 
@@ -146,9 +148,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents without a match, with all their columns."""
-    hit = matches(docs, benchmark, rate).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows whose own text has no match, with all their columns, whatever other rows of the doc_id have."""
+    spark, digest = docs.sparkSession, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    rows = docs.select(digest.alias("__hit"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    each = [rows.mapInArrow(_match(spark.sparkContext.broadcast(b), rate, pa.string()), "__hit string, item_id long, distance int").select("__hit") for b in blocks(benchmark, BLOCK_CHARS)]
+    if not each:
+        return docs
+    hit = reduce(DataFrame.unionByName, each).distinct()
+    return docs.join(hit, digest == F.col("__hit"), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-Texts are lower-cased (A-Z) and shingled; equal shingle sets are one class, its smallest doc_id its
-representative. Each class has `BANDS * BAND` MinHash samples. Bands of equal samples give candidates; an odd
+Texts are lower-cased (A-Z) and shingled; equal shingle sets are one class, named by a hash of the set, so that
+rows are told apart by their texts and not by their doc_id. Each class has `BANDS * BAND` MinHash samples. Bands of equal samples give candidates; an odd
 sketch (a parity bitmap of the samples, folded) bounds from the XOR population count how many samples of
 a pair can differ, which drops pairs far below the threshold. What is left is confirmed on full sets.
 
@@ -13,7 +13,8 @@ and no task holds more than two blocks. Only links of a spanning forest come bac
 
 With 56 bands of six samples a pair of similarity 0.8 is missed with probability 4e-8. Null, empty and
 blank texts have empty sets and link with nothing. Rows that repeat a doc_id count as one document for
-links (the union of their links) and each give a row.
+links (the union of their links) and each give a row. Rows without a doc_id link by their texts; their
+component is null only if nobody in it has a doc_id. `dedup` doesn't count rows of one doc_id as one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.bpe import _un, _z
@@ -41,7 +42,9 @@ U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(77)
 _MUL, _ADD = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) | U(1), _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
-SIGNED = "doc_id long, n_shingles long, class string, bands array<long>, odd binary"
+SIGNED = "doc_id long, n_shingles long, class long, digest string, bands array<long>, odd binary"
+#: A text with a word, as `units` has them.
+WORD = r"[^\x20\x09-\x0D]"
 #: Samples that may differ in a linked pair: the mean at the threshold and six standard deviations.
 MOST_DIFFER = int(SAMPLES * (1 - PERCENT / 100) + 6 * (SAMPLES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 
@@ -78,9 +81,9 @@ def odd_sketch(m: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def _class(s: np.ndarray) -> str | None:
+def _class(s: np.ndarray) -> int | None:
     """Equal for equal sets; none for the empty set."""
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
 def _sign(words: int):
@@ -91,9 +94,9 @@ def _sign(words: int):
             m = [samples(s) if len(s) else None for s in sets]
             keys = [None if x is None else ((x.reshape(BANDS, BAND).astype(U) * _MUL[:BAND]).sum(axis=1, dtype=U) * U(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=U)).view(np.int64) for x in m]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.string()),
+                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), b.column(2),
                 pa.array(keys, pa.list_(pa.int64())), pa.array([None if x is None else odd_sketch(x) for x in m], pa.binary()),
-            ], ["doc_id", "n_shingles", "class", "bands", "odd"])
+            ], ["doc_id", "n_shingles", "class", "digest", "bands", "odd"])
 
     return run
 
@@ -157,22 +160,21 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(k, 200) for x in batches for k in range(0, x.num_rows, 200)):
             sets = shingles([x.encode() for x in b.column(1).to_pylist()], words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_class(s) for s in sets], pa.string()), pa.array([_z(s) for s in sets], pa.binary())], ["node", "class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([_z(s) for s in sets], pa.binary())], ["node", "set"])
 
     return run
 
 
-def classes(docs: DataFrame, words: int = 5, cluster: int = CLUSTER) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) of each row."""
-    spark = docs.sparkSession
-    rows = texts(docs)
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _linked(docs: DataFrame, words: int, cluster: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, n_shingles, class, digest of the text; and the links a, b of classes."""
+    rows = texts(docs).withColumn("digest", _digest())
     signed = stage(rows.mapInArrow(_sign(words), SIGNED))
-    ids = signed.select("doc_id", "n_shingles", "class")
-    # equal sets are one node, named by their least doc_id
-    least = ids.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"))
-    least = stage(least)
-    nodes = signed.join(least.select("class", F.col("node").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class"])
-    nodes = nodes.select(F.col("doc_id").alias("node"), "bands", "odd")
+    ids = signed.select("doc_id", "n_shingles", "class", "digest")
+    nodes = stage(signed.where("class IS NOT NULL").select(F.col("class").alias("node"), "bands", "odd").dropDuplicates(["node"]))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
     near = stage(banded.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
@@ -180,28 +182,44 @@ def classes(docs: DataFrame, words: int = 5, cluster: int = CLUSTER) -> DataFram
     clusters = components(near, ends)
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(cluster)).cast("int").alias("blocks"))
     placed = stage(clusters.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    # of rows that repeat a doc_id, each set is a node's only if its class has that name
-    asked = placed.join(least, "node").select("node", "class")
-    sets = rows.withColumnRenamed("doc_id", "node").join(asked.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(words), "node long, class string, set binary")
-    sets = sets.join(asked, ["node", "class"], "left_semi").dropDuplicates(["node"])
-    held = placed.join(nodes.select("node", "odd"), "node").join(sets.drop("class"), "node")
+    # one text gives the set of a class
+    asked = ids.join(placed.select(F.col("node").alias("class")), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    asked = asked.select(F.col("one.doc_id").alias("id"), F.col("one.digest").alias("by")).distinct()
+    sets = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("by")), "left_semi").mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"])
+    held = placed.join(nodes.select("node", "odd"), "node").join(sets, "node")
     # each block meets itself and every other
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     held = held.select("node", "root", "block", "odd", "set", met.alias("m")).select("node", "root", "block", "odd", "set", "m.i", "m.j")
-    links = stage(held.groupBy("root", "i", "j").applyInArrow(_links, "a long, b long"))
-    named = ids.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+    return ids, stage(held.groupBy("root", "i", "j").applyInArrow(_links, "a long, b long"))
+
+
+def classes(docs: DataFrame, words: int = 5, cluster: int = CLUSTER) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) of each row."""
+    ids, links = _linked(docs, words, cluster)
     # a doc_id that stands in several rows ties their nodes together
-    tied = named.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    several = ids.groupBy("doc_id").agg(F.count_distinct("class").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
-    tied = tied.join(several, "a", "left_semi")
-    found = components(links.unionByName(tied), named.select("node").distinct())
-    return named.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    named = ids.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
+    tied = named.join(several, "doc_id").select("a", F.col("class").alias("b")).where("a <> b")
+    least = ids.where("class IS NOT NULL").groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("least"))
+    found = components(links.unionByName(tied), least.select("node")).join(least, "node")
+    found = stage(found)
+    names = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = found.join(names, "root").select(F.col("node").alias("class"), "component_id")
+    return ids.join(found, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group, with all its columns."""
-    kept = classes(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies, with all its columns: the least doc_id, if any has one. Rows without a word stay."""
+    ids, links = _linked(docs, words, CLUSTER)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    least = stage(ids.where("class IS NOT NULL").groupBy(F.col("class").alias("node")).agg(first))
+    kept = components(links, least.select("node")).join(least, "node").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__of"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    # rows of the same doc_id and text are copies
+    one = docs.where(worded).withColumn("__digest", _digest())
+    one = one.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    return one.dropDuplicates(["doc_id", "__digest"]).drop("__digest").unionByName(docs.where(~worded))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

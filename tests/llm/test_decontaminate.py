@@ -80,6 +80,13 @@ def test_repeating_items(spark):
     assert got == brute(docs, items) and len(got) >= 36
 
 
+def test_clean_tells_rows_apart(spark):
+    rows = [(None, "holds the benchmark item here"), (None, "clean words"), (5, "the benchmark item"), (5, "other words"), (None, None)]
+    items = spark.createDataFrame([(1, "the benchmark item")], "item_id long, text string")
+    kept = D.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in kept) == [("5", "'other words'"), ("None", "'clean words'"), ("None", "None")]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, D.normal(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -53,6 +53,23 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.component_id) for r in minhash.classes(twice).collect()) == [(0, 0), (1, 0), (1, 0), (2, 0), (9, 9)]
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows are told apart by their texts: unlike rows of one doc_id or of none stay, near copies link whatever their ids."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    t = [text() for _ in range(8)]
+    near = lambda x: x.rsplit(" ", 1)[0] + " changed"
+    rows = [(None, t[0]), (None, t[1]), (None, near(t[1])), (7, t[2]), (7, t[3]), (None, near(t[3])), (8, near(t[2])), (9, t[4]), (9, t[4]), (None, ""), (None, None), (9, " "), (None, t[5]), (4, near(t[5])), (1, t[6]), (1, t[7]), (2, near(t[7]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in minhash.dedup(df, 4).collect()]
+    want = [(7, t[2]), (7, t[3]), (9, t[4]), (None, ""), (None, None), (9, " "), (4, near(t[5])), (1, t[6]), (1, t[7]), (None, t[0])]
+    assert sorted(map(repr, [x for x in kept if x[1] not in (t[1], near(t[1]))])) == sorted(map(repr, want))
+    assert len(kept) == len(want) + 1
+    # rows in order of their texts' groups
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.classes(df, 4).collect()), key=repr)
+    assert got == sorted([(None, None)] * 3 + [(None, None)] * 2 + [(7, 7)] * 2 + [(None, 7), (8, 7)] + [(9, 9)] * 3 + [(None, 4), (4, 4)] + [(1, 1)] * 2 + [(2, 1)], key=repr)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
