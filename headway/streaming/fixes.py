@@ -44,13 +44,20 @@ def tracked(fixes: DataFrame) -> DataFrame:
 
 
 def r_stream_epochs(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream, run to its end; epochs go to a table in the shared folder."""
+    """The events table as a stream, run to its end: every window, the newest too. Each batch's changed windows
+    go to its own folder, written over if the batch runs twice; a window's last batch holds its whole count."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events*").withColumn("ts", F.col("ts").cast("timestamp"))
     out = stages.folder(spark)
-    q = epochs(stream, 3600).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    q = epochs(stream, 3600).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("start timestamp, event_type string, n long, v double").parquet(f"{out}/rows")
+    rows = spark.read.schema("start timestamp, event_type string, n long, v double, batch long").parquet(f"{out}/rows")
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "v"), "batch").alias("last"))
+    return last.select("start", "event_type", "last.n", "last.v")
 
 
 def r_tracked(spark: SparkSession, sf: str) -> DataFrame:
