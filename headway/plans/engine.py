@@ -104,6 +104,16 @@ def j_next_departure(spark: SparkSession, sf: str) -> DataFrame:
     return R.asof_next(a, b, "stop", "t", "trip").select("fix", "stop", "t", "next_at")
 
 
+@query(sql("fixes", "stops", "times") + """, a AS (SELECT fix, dist % (SELECT max(stop) FROM stops) + 1 AS stop, fix * 37 % 90000 AS t FROM fixes)
+ SELECT a.fix, a.stop, a.t, min(b.t) AS next_at FROM a LEFT JOIN times b ON b.stop = a.stop AND b.t >= a.t GROUP BY 1, 2, 3""")
+def j_next_departure_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The next departure where fixes ask at all stops."""
+    last = relation(spark, sf, "stops").agg(F.max("stop").alias("last"))
+    a = relation(spark, sf, "fixes").crossJoin(F.broadcast(last)).selectExpr("fix", "dist % last + 1 AS stop", "fix * 37 % 90000 AS t")
+    b = relation(spark, sf, "times").select("stop", "t", "trip").distinct()
+    return R.asof_next(a, b, "stop", "t", "trip").select("fix", "stop", "t", "next_at")
+
+
 @query(sql("times") + """, s AS (SELECT trip, min(t) AS dep, max(t) AS arr FROM times GROUP BY 1), g AS (SELECT unnest(range(0, 91000, 600)) AS slot)
  SELECT slot, count(trip) AS under_way, count(trip) >= 50 AS enough FROM g LEFT JOIN s ON dep <= slot AND slot <= arr GROUP BY slot""")
 def j_under_way(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,12 +215,22 @@ def a_routes_of_stop(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("fixes") + """ SELECT a.fix, a.trip, count(b.fix) AS n, median(b.ratio) AS miss FROM fixes a JOIN fixes b ON b.trip = a.trip AND b.veh_ts BETWEEN a.veh_ts - 86400 AND a.veh_ts WHERE a.fix % 10 = 0 GROUP BY 1, 2""")
 def a_trailing_miss(spark: SparkSession, sf: str) -> DataFrame:
     """Median of the trailing day at every tenth fix: bucketed by day, so that each row meets two buckets."""
-    f = relation(spark, sf, "fixes").select("fix", "trip", "veh_ts", "ratio", F.floor(F.col("veh_ts") / 86400).alias("d"))
+    return _trailing_miss(relation(spark, sf, "fixes"), "fix % 10 = 0")
+
+
+def _trailing_miss(fixes: DataFrame, asked: str) -> DataFrame:
+    f = fixes.select("fix", "trip", "veh_ts", "ratio", F.floor(F.col("veh_ts") / 86400).alias("d"))
     b = f.select("trip", F.col("veh_ts").alias("t"), F.col("ratio").alias("r"), F.explode(F.array("d", F.col("d") + 1)).alias("d"))
-    met = f.where("fix % 10 = 0").join(b, ["trip", "d"]).where("t BETWEEN veh_ts - 86400 AND veh_ts")
+    met = f.where(asked).join(b, ["trip", "d"]).where("t BETWEEN veh_ts - 86400 AND veh_ts")
     return met.groupBy("fix", "trip").agg(F.count(F.lit(1)).alias("n"), F.median("r").alias("miss"))
 
 
+@query(sql("fixes") + " SELECT a.fix, a.trip, count(b.fix) AS n, median(b.ratio) AS miss FROM fixes a JOIN fixes b ON b.trip = a.trip AND b.veh_ts BETWEEN a.veh_ts - 86400 AND a.veh_ts GROUP BY 1, 2")
+def a_trailing_miss_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Median of the trailing day at every fix."""
+    return _trailing_miss(relation(spark, sf, "fixes"), "true")
+
+
 @query(sql("times") + """, u AS (SELECT trip, i, min(part) AS part, max(d) AS d, max(wait) AS wait FROM times GROUP BY 1, 2)
  SELECT trip, i, max(d) OVER w AS d, sum(wait * 10) OVER w AS secs FROM u WINDOW w AS (PARTITION BY trip ORDER BY i ROWS UNBOUNDED PRECEDING)""")
 def w_cumulative(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,6 +310,14 @@ def g_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.components(spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 13 = 0 AND o_custkey IS NOT NULL").selectExpr("o_custkey AS a", "1000000 + o_orderkey % 211 AS b").distinct())
 
 
+def g_components_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Components over all orders; no SQL, as a recursion over them makes rows by the square of a component."""
+    return graph.components(spark.read.parquet(f"{sf}/orders.parquet").where("o_custkey IS NOT NULL").selectExpr("o_custkey AS a", "1000000 + o_orderkey % 211 AS b").distinct())
+
+
+QUERIES["g_components_all"] = g_components_all
+
+
 @query("""WITH RECURSIVE e AS (SELECT a, b, min(c) AS c FROM (SELECT l_suppkey AS a, l_suppkey % 97 + l_linenumber AS b, CAST(l_linenumber * 40 + l_suppkey % 30 AS DOUBLE) AS c FROM lineitem) GROUP BY 1, 2),
  r AS (SELECT 1 AS node, CAST(0.0 AS DOUBLE) AS cost UNION SELECT e.b, r.cost + e.c FROM r JOIN e ON e.a = r.node WHERE r.cost + e.c <= 300) SELECT CAST(1 AS BIGINT) AS source, CAST(node AS BIGINT) AS node, min(cost) AS cost FROM r GROUP BY 2""")
 def g_reach(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from headway import catalog
 from headway.streaming import fixes as streamed
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,28 @@ def test_stream_has_every_window(spark):
     got = {(r.start, r.event_type): (r.n, r.v) for r in streamed.r_stream_epochs(spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == n and got[k][1] == pytest.approx(v) for k, (n, v) in want.items())
+
+
+def test_trailing_miss_of_every_fix(spark):
+    got = [r.fix for r in catalog.QUERIES["a_trailing_miss_all"](spark, SF).collect()]
+    assert sorted(got) == sorted(r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").collect())
+
+
+def test_components_of_all_orders(spark):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey IS NOT NULL").collect():
+        a, b = sorted((find(r.o_custkey), find(1000000 + r.o_orderkey % 211)))
+        root[b] = a
+    assert {r.node: r.root for r in catalog.QUERIES["g_components_all"](spark, SF).collect()} == {x: find(x) for x in root}
+
+
+def test_next_departure_at_all_stops(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.stop for r in catalog.QUERIES["j_next_departure_all"](spark, sf).collect()}
+    assert got == {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
