@@ -112,11 +112,14 @@ def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> Data
     return pairs.select("doc_id", "line", "license", dice.alias("dice")).where(F.col("dice") >= threshold).groupBy("doc_id", "line", "license").agg(F.max("dice").alias("dice"))
 
 
+_COMMON = frozenset("a an and any are as at be by for from if in is it may not of on or that the this to under use with work you".split())
+
+
 def marks(words: list[str], threshold: float) -> list[str]:
-    """Words, long ones first, without all of which too few of the bigrams are left to reach the threshold."""
+    """Words, long and less common ones first, without all of which too few of the bigrams are left to reach the threshold."""
     own, out = _bigrams(words), []
     need = bounds(len(own), threshold)[0]
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+    for w in sorted(set(words), key=lambda w: (w in _COMMON, -len(w), w)):
         out.append(w)
         if sum(not set(b.split()) & set(out) for b in own) < need:
             return out
@@ -145,15 +148,18 @@ def _best(win: Column, own: Column) -> Column:
 
 def windows(docs: DataFrame, given=TEMPLATES + FULL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, license, dice of stretches across or inside lines."""
-    made, low = [], F.lower("text")
+    made, near, low = [], F.lit(False), F.lower("text")
     for name, text in given:
         own = _bigrams(_words(text))
         sizes = bounds(len(own), threshold)
         some = F.lit(False)
         for w in marks(_words(text), threshold):
-            some = some | F.contains(low, F.lit(w))
+            near = near | F.contains(low, F.lit(w))
+            some = some | F.contains("norm", F.lit(f" {w} "))
         made.append(F.when(some, F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own"), F.lit(sizes[0]).alias("need"), F.lit(sizes[-1]).alias("most"))))
-    asked = texts(docs).select("doc_id", "text", F.filter(F.array(*made), lambda x: x.isNotNull()).alias("asked")).where(F.size("asked") > 0)
+    # letters of a mark first, then the whole word
+    norm = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" "))
+    asked = texts(docs).where(near).select("doc_id", "text", norm.alias("norm")).select("doc_id", "text", F.filter(F.array(*made), lambda x: x.isNotNull()).alias("asked")).where(F.size("asked") > 0)
     split = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     words = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(split(x), lambda w: F.struct(i.alias("line"), w.alias("w")))))
     rows = asked.select("doc_id", "asked", words.alias("words")).where(F.size("words") > 1)
