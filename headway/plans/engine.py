@@ -104,12 +104,12 @@ def j_next_departure(spark: SparkSession, sf: str) -> DataFrame:
     return R.asof_next(a, b, "stop", "t", "trip").select("fix", "stop", "t", "next_at")
 
 
-@query(sql("fixes", "stops", "times") + """, a AS (SELECT fix, dist % (SELECT max(stop) FROM stops) + 1 AS stop, fix * 37 % 90000 AS t FROM fixes)
+@query(sql("fixes", "stops", "times") + """, a AS (SELECT fix, dist % (SELECT max(stop) + 1 FROM stops) AS stop, fix * 37 % 90000 AS t FROM fixes)
  SELECT a.fix, a.stop, a.t, min(b.t) AS next_at FROM a LEFT JOIN times b ON b.stop = a.stop AND b.t >= a.t GROUP BY 1, 2, 3""")
 def j_next_departure_all(spark: SparkSession, sf: str) -> DataFrame:
     """The next departure where fixes ask at all stops."""
     last = relation(spark, sf, "stops").agg(F.max("stop").alias("last"))
-    a = relation(spark, sf, "fixes").crossJoin(F.broadcast(last)).selectExpr("fix", "dist % last + 1 AS stop", "fix * 37 % 90000 AS t")
+    a = relation(spark, sf, "fixes").crossJoin(F.broadcast(last)).selectExpr("fix", "dist % (last + 1) AS stop", "fix * 37 % 90000 AS t")
     b = relation(spark, sf, "times").select("stop", "t", "trip").distinct()
     return R.asof_next(a, b, "stop", "t", "trip").select("fix", "stop", "t", "next_at")
 
