@@ -2,17 +2,21 @@
 
 Tasks split the texts into words and number the distinct words of each chunk of documents. The words
 go to hash buckets; each bucket encodes every distinct word once, whatever number of chunks holds it,
-and answers with its ids. The answers join the chunk's word numbers, position by position. Decoding
-joins ids to the vocabulary's pieces (a table bounded by the vocabulary, broadcast once checked).
+and answers with its ids. The answers join the chunk's word numbers, position by position. There are so
+many buckets that each has the words of BUCKET_BYTES of text at most. Decoding joins ids to the
+vocabulary's pieces, a table that the vocabulary file bounds: it is broadcast, and the pieces are taken
+by id for a slice of documents at a time. Ids without a piece are left out, as the library does.
 
-Null and empty texts have no ids. Rows that repeat a doc_id each give a row.
+Null and empty texts have no ids. A null doc_id stays null; rows that repeat a doc_id each give a row;
+other columns are ignored; an empty table gives no rows. Very long texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import files
-from headway.llm.common import parts, shared_dir, stage, table, texts
+from headway.llm.common import parts, shared_dir, slices, stage, table, text_bytes, texts
 
 #: Fixed value: the word pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,10 +32,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\f"
 LATIN = f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 LATIN_TEXT = "[\x20-\x7e\t\n\r\f\xa1-ɏ]*"
-#: The largest vocabulary whose pieces are broadcast.
-MAX_PIECES = 2_000_000
 CHUNK_CHARS = 8_000_000
+#: Bytes of text whose words are in a bucket.
+BUCKET_BYTES = 32_000_000
+#: Words whose ids are joined at once.
+WORDS = 2**18
 ENCODED = "doc_id long, ids binary"
+NULL_ID = -(2**63)
 
 
 def default_tokenizer() -> str:
@@ -40,7 +47,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
 def _load(spec: str):
+    """The tokenizer, once for each worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,7 +116,7 @@ def _number(buckets: int, specials: list[str], chunk_chars: int, folder: str):
             rank = np.empty(len(raw), np.uint32)
             rank[order] = np.arange(len(raw), dtype=np.uint32)
             numbers = rank[np.concatenate(codes)] if len(raw) else np.zeros(0, np.uint32)
-            name = f"{part}-{seq}"
+            name = f"{part:08d}-{seq:06d}"
             files.write(folder, name, _z(numbers))
             rows = [(name, -1, len(ids), _z(np.array(ids, np.int64)), _z(np.array(lens, np.uint32)), None)]
             at = np.flatnonzero(np.diff(of[order], prepend=-1)).tolist() if len(raw) else []
@@ -116,10 +125,10 @@ def _number(buckets: int, specials: list[str], chunk_chars: int, folder: str):
                 rows.append((name, int(of[order[a]]), b - a, None, _z(np.fromiter(map(len, own), np.uint32, b - a)), _z(b"".join(own))))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNK)], schema=_CHUNK)
 
-        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = words(text)
-                ids.append(doc if doc is not None else -(2**63))
+                ids.append(doc if doc is not None else NULL_ID)
                 lens.append(len(own))
                 codes.append(np.fromiter(map(seen.__getitem__, own), np.uint32, len(own)))
                 chars += len(text)
@@ -133,88 +142,129 @@ def _number(buckets: int, specials: list[str], chunk_chars: int, folder: str):
     return run
 
 
+def _word_tokenizer(spec: str):
+    """The tokenizer for single words: it doesn't split again."""
+    from tokenizers import pre_tokenizers
+
+    tok = _load(spec)
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return tok
+
+
 def _encode_bucket(spec):
     """All the chunks' words of a bucket -> their ids; each distinct word is encoded once."""
 
     def run(t: pa.Table) -> pa.Table:
-        from tokenizers import pre_tokenizers
-
-        tok = _load(spec.value)
-        tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        index: dict[bytes, int] = {}
-        rows = []
-        for name, lens, body in zip(t["chunk"].to_pylist(), t["lens"].to_pylist(), t["body"].to_pylist()):
+        tok, index, rows = _word_tokenizer(spec.value), {}, []
+        for lens, body in zip(t["lens"].to_pylist(), t["body"].to_pylist()):
             ends = np.cumsum(_un(lens, np.uint32).astype(np.int64)).tolist()
             raw = _un(body)
-            rows.append((name, [index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends], ends)]))
-        distinct = [w.decode("utf-8") for w in index]
-        coded = [np.array(e.ids, np.uint32) for k in range(0, len(distinct), 1000) for e in tok.encode_batch(distinct[k : k + 1000], add_special_tokens=False)]
-        out = [(name, [coded[i] for i in of]) for name, of in rows]
+            rows.append(np.fromiter((index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends], ends)), np.int64, len(ends)))
+        distinct = iter([w.decode("utf-8") for w in index])
+        index.clear()
+        size, flat = [], []
+        while some := [w for _, w in zip(range(1000), distinct)]:
+            coded = [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+            size += map(len, coded)
+            flat.append(np.array([i for ids in coded for i in ids], np.uint32))
+        size, flat = np.array(size, np.int64), np.concatenate(flat)
+        start, n = np.cumsum(size) - size, [size[of] for of in rows]
         return pa.table({
-            "chunk": pa.array([n for n, _ in out], pa.string()), "bucket": t["bucket"],
-            "lens": pa.array([_z(np.fromiter(map(len, c), np.uint32, len(c))) for _, c in out], pa.binary()),
-            "body": pa.array([_z(np.concatenate(c)) for _, c in out], pa.binary()),
+            "chunk": t["chunk"], "bucket": t["bucket"],
+            "lens": pa.array([_z(k.astype(np.uint32)) for k in n], pa.binary()),
+            "body": pa.array([_z(_gathered(flat, start[of], k)) for of, k in zip(rows, n)], pa.binary()),
         })
 
     return run
 
 
-def _join(folder: str, left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's word numbers and its words' ids -> the ids of each document."""
+def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _join(folder: str, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's word numbers and its words' ids -> its documents, their ends among the ids, and the ids."""
     docs, lens = _un(left["docs"][0].as_py(), np.int64), _un(left["lens"][0].as_py(), np.uint32)
     numbers = _un(files.read(f"{folder}/{left['chunk'][0].as_py()}"), np.uint32)
     answers = sorted(zip(right["bucket"].to_pylist(), right["lens"].to_pylist(), right["body"].to_pylist()))
     size = np.concatenate([_un(x, np.uint32) for _, x, _ in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
     flat = np.concatenate([_un(x, np.uint32) for *_, x in answers] or [np.zeros(0, np.uint32)])
-    start, ends = np.cumsum(size) - size, np.cumsum(lens.astype(np.int64))
-    out = []
-    for a, b in zip([0, *ends.tolist()], ends.tolist()):
-        own = numbers[a:b]
-        n = size[own]
-        shift = start[own] - (np.cumsum(n) - n)
-        out.append(flat[np.repeat(shift, n) + np.arange(int(n.sum()))].astype("<u4").tobytes())
-    null = docs == -(2**63)
-    return pa.table({"doc_id": pa.array(docs, pa.int64(), mask=null), "ids": pa.array(out, pa.binary())})
+    start, out, ends = np.cumsum(size) - size, [np.zeros(0, np.uint32)], np.zeros(len(numbers) + 1, np.int64)
+    for k in range(0, len(numbers), WORDS):
+        own = numbers[k : k + WORDS]
+        out.append(_gathered(flat, start[own], size[own]))
+        np.cumsum(size[own], out=ends[k + 1 : k + 1 + len(own)])
+        ends[k + 1 : k + 1 + len(own)] += ends[k]
+    return docs, ends[np.cumsum(lens.astype(np.int64))], np.concatenate(out)
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text, as the tokenizers library gives without special tokens added."""
+def by_chunk(rows: DataFrame, total: int, folder: str, spec: str, chunk_chars: int, finish: Callable, schema: str) -> DataFrame:
+    """rows: doc_id and text (of total bytes), taken in their order. finish: (chunk's name, documents, their ends, ids) -> a table of schema for each chunk."""
     import json
 
-    spark = docs.sparkSession
-    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
-        spec = f.read()
+    spark = rows.sparkSession
     specials = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
-    held = spark.sparkContext.broadcast(spec)
-    buckets = 2 * parts(spark)
-    folder = shared_dir(spark)
-    rows = stage(texts(docs).mapInArrow(_number(buckets, specials, chunk_chars, folder), _CODED), "none")
-    coded = rows.where("bucket >= 0").select("chunk", "bucket", "lens", "body").groupBy("bucket").applyInArrow(_encode_bucket(held), "chunk string, bucket int, lens binary, body binary")
-    return rows.where("bucket < 0").select("chunk", "docs", "lens").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _join(folder, left, right), ENCODED)
+    held = spark.sparkContext.broadcast(spec)  # the vocabulary file
+    buckets = max(2 * parts(spark), -(-total // BUCKET_BYTES))
+    words = stage(rows.mapInArrow(_number(buckets, specials, chunk_chars, folder), _CODED), "none")
+    coded = words.where("bucket >= 0").select("chunk", "bucket", "lens", "body").groupBy("bucket").applyInArrow(_encode_bucket(held), "chunk string, bucket int, lens binary, body binary")
 
+    def chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        return finish(left["chunk"][0].as_py(), *_join(folder, left, right))
 
-def pieces(tokenizer: str | None = None) -> dict[int, bytes]:
-    """The bytes of each id of a byte-level vocabulary."""
-    tok = _load(open(tokenizer or default_tokenizer(), encoding="utf-8").read())
+    return words.where("bucket < 0").select("chunk", "docs", "lens").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(chunk, schema)
+
+
+def spec_of(tokenizer: str | None) -> str:
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
+        return f.read()
+
+
+def as_binary(body: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes cut at ends, as an array of binaries."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(body)])
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text, as the tokenizers library gives without special tokens added."""
+
+    def finish(_: str, ids: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> pa.Table:
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NULL_ID), "ids": as_binary(flat.astype("<u4"), 4 * ends)})
+
+    return by_chunk(texts(docs), text_bytes(docs), shared_dir(docs.sparkSession), spec_of(tokenizer), chunk_chars, finish, ENCODED)
+
+
+def pieces(tokenizer: str | None = None) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; an id without a piece has none."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    out = {}
-    for s, i in tok.get_vocab(with_added_tokens=True).items():
+    known = _load(spec_of(tokenizer)).get_vocab(with_added_tokens=True)
+    out = [b""] * (max(known.values(), default=-1) + 1)
+    for s, i in known.items():
         out[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode("utf-8")
-    if len(out) > MAX_PIECES:
-        raise ValueError(f"{len(out)} pieces are too many to broadcast")
     return out
 
 
+def _said(piece: pa.Array, ids: pa.Array) -> list[str]:
+    """The texts of a slice's ids: one look-up of all pieces, laid end to end, then cut at the documents' ends."""
+    each = [np.frombuffer(x, "<u4") for x in ids.to_pylist()]
+    flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
+    found = piece.take(pa.array(np.minimum(flat, len(piece) - 1)))  # the last piece is empty
+    body, offsets = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int32)[: len(flat) + 1]
+    body = memoryview(body) if body is not None else memoryview(b"")
+    cuts = offsets[np.append(0, np.cumsum([len(x) for x in each]))].tolist()
+    return [str(body[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, ids and text: each id joins its piece; bytes that aren't UTF-8 become replacement characters, as the library does."""
-    held = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer))
+    held = encoded.sparkSession.sparkContext.broadcast([*pieces(tokenizer), b""])  # the vocabulary file bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = held.value
-        for b in batches:
-            said = [b"".join([piece.get(i, b"") for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string())], ["doc_id", "ids", "text"])
+        piece = pa.array(held.value, pa.binary())
+        for b in slices(batches, "ids", 1000, 4_000_000):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_said(piece, b.column(1)), pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 

@@ -32,3 +32,9 @@ def read(uri: str, start: int = 0, length: int | None = None) -> bytes:
     with opened(uri) as f:
         f.seek(start)
         return f.read(length) if length is not None else f.read()
+
+
+def remove(folder: str) -> None:
+    """Delete a folder that no later job reads."""
+    store, path = _fs(folder)
+    store.delete_dir(path)

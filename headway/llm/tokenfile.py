@@ -9,8 +9,9 @@ Layout, little-endian: 8 bytes magic, int64 documents, int64 tokens, int64 level
 size; then doc ids (int64), document ends (int64); then for each level its chunks, bitmap and ranks
 (int64 for every 512 bits), each padded to eight bytes.
 
-A null doc_id sorts first and stays null only in the result's row (it is stored as the least integer).
-Rows that repeat a doc_id stay separate and adjacent.
+A null text is empty and has the end id alone. A null doc_id sorts first and stays null only in the result's row
+(it is stored as the least integer). Rows that repeat a doc_id stay separate and adjacent; other columns are ignored;
+an empty table has no files. Very long texts are written whole.
 """
 
 from __future__ import annotations
@@ -23,13 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headway.llm import bpe, files
-from headway.llm.common import parts, shared_dir, stage, table
+from headway.llm.common import parts, shared_dir, stage, table, text_bytes, texts
 
 MAGIC = b"DACTOK01"
 BITS = 512
-#: Tokens after which a file ends (with the document that reaches it).
-FILE_TOKENS = 8_000_000
-NULL_ID = -(2**63)
+NULL_ID = bpe.NULL_ID
 
 
 def _pad(b: bytes) -> bytes:
@@ -104,56 +103,27 @@ class TokenFile:
         return out
 
 
-def _dealt(bounds):
-    """Shrink the ids for the shuffle and say which range of doc_id a document is in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
-            ids = [bpe._z(np.frombuffer(x, "<u4").astype("<u2") if small else x) + (b"2" if small else b"4") for x in b.column(1).to_pylist() for small in [not len(x) or int(np.frombuffer(x, "<u4").max()) < 2**16]]
-            at = np.searchsorted(bounds.value, docs, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at), pa.array(ids, pa.binary())], ["doc_id", "at", "z"])
-
-    return run
-
-
-def _write(folder: str, end_id: int, file_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, parts_, size, rows, seq, now = [], [], 0, [], 0, None
-
-        def flush() -> None:
-            ends = np.cumsum([len(x) for x in parts_])
-            name = f"{now:08d}-{seq:06d}.dac"
-            rows.append((name, files.write(folder, name, pack(np.array(docs, np.int64), ends, np.concatenate(parts_))), len(docs), int(ends[-1])))
-
-        for b in batches:
-            for doc, at, z in zip(*(c.to_pylist() for c in b.columns)):
-                if docs and (at != now or size >= file_tokens):
-                    flush()
-                    docs, parts_, size, seq = [], [], 0, seq + 1 if at == now else 0
-                now = at
-                ids = bpe._un(z[:-1], "<u2" if z[-1:] == b"2" else "<u4").astype(np.uint32)
-                docs.append(doc)
-                parts_.append(np.append(ids, np.uint32(end_id)))
-                size += len(ids) + 1
-        if docs:
-            flush()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())], ["name", "uri", "n_docs", "n_tokens"])
-
-    return run
-
-
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Encode, append end_id to each document, write files; returns name, uri, n_docs, n_tokens, start of each file in order."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, chunk_chars: int = bpe.CHUNK_CHARS) -> DataFrame:
+    """Encode, append end_id to each document, write a file for each chunk; returns name, uri, n_docs, n_tokens, start of each file in order."""
     spark = docs.sparkSession
-    n = parts(spark)
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)] or [0.5], 10 * n + 1000).alias("q")).first().q or []
-    held = spark.sparkContext.broadcast(np.array(sorted(set(cuts)), np.int64))  # at most one number for each partition
-    dealt = bpe.encode(docs, tokenizer).mapInArrow(_dealt(held), "doc_id long, at int, z binary")
-    ordered = dealt.repartitionById(n, "at").sortWithinPartitions("at", "doc_id")
-    made = stage(ordered.mapInArrow(_write(folder, end_id, file_tokens), "name string, uri string, n_docs long, n_tokens long"))
-    # one row for each file
-    return made.withColumn("start", F.sum("n_tokens").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["start"])
+    numbers = shared_dir(spark)
+    # texts in ranges of doc_id, so that a chunk's ids are written where they are joined; rows of one doc_id may be split
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+
+    def finish(name: str, ids: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> pa.Table:
+        flat, ends = np.insert(flat, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+        uri = files.write(folder, f"{name}.dac", pack(ids, ends, flat))
+        return pa.table({"name": [name], "uri": [uri], "n_docs": [len(ids)], "n_tokens": [len(flat)]})
+
+    made = stage(bpe.by_chunk(rows.drop("row"), text_bytes(docs), numbers, bpe.spec_of(tokenizer), chunk_chars, finish, "name string, uri string, n_docs long, n_tokens long"))
+    if not made.isEmpty():
+        files.remove(numbers)
+    # a name is the range's number and the file's place there: starts of ranges (a row for each), then of files within
+    made = made.withColumn("range", F.substring_index("name", "-", 1))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = made.groupBy("range").agg(F.sum("n_tokens").alias("n_tokens")).select("range", before(Window.orderBy("range")).alias("base"))
+    start = (F.col("base") + before(Window.partitionBy("range").orderBy("name"))).alias("start")
+    return made.join(ranges, "range").select("name", "uri", "n_docs", "n_tokens", start).orderBy("name")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -168,7 +138,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 docs, ends = f.documents()
                 starts = np.append(0, ends[:-1]) if len(ends) else ends
                 ids = f.tokens().astype("<u4")
-                crc = [crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                crc = [crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=docs == NULL_ID), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("uri", "start").repartition(parts(manifest.sparkSession), "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,6 +29,21 @@ def test_empty_table(spark):
     assert bpe.decode(bpe.encode(df)).count() == 0
 
 
+def test_null_and_repeated_doc_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None), (4, "c"), (4, "c"), (4, "")], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in bpe.decode(bpe.encode(df, chunk_chars=2)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "a b"), (None, ""), (4, "c"), (4, "c"), (4, "")], key=repr)
+
+
+def test_decoding_of_any_ids(spark):
+    """Bytes that aren't UTF-8, ids without a piece and no ids at all: as the library decodes them."""
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    some = [tok.encode("é漢", add_special_tokens=False).ids[:1], tok.encode("漢字", add_special_tokens=False).ids[1:], [], [10**6, 5], [tok.get_vocab_size() - 1]]
+    df = spark.createDataFrame([(i, bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(some)], "doc_id long, ids binary")
+    got = {r.doc_id: r.text for r in bpe.decode(df).collect()}
+    assert [got[i] for i in range(len(some))] == [tok.decode(x, skip_special_tokens=False) for x in some]
+
+
 def test_query(spark):
     rows = bpe.op7_bpe(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -24,8 +24,10 @@ def test_query(spark):
 def test_edges(spark, tmp_path):
     rows = [(7, None), (3, ""), (-2, "a b"), (9, "word " * 3000), (8, "x")]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, start int")
-    made = tokenfile.write_tokens(df, f"file://{tmp_path}/t", file_tokens=100)
+    made = tokenfile.write_tokens(df, f"file://{tmp_path}/t", chunk_chars=100)
     assert sorted(tuple(r) for r in tokenfile.read_tokens(made).collect()) == expected([(d, t or "") for d, t in rows])
+    starts = [(r.start, r.n_tokens) for r in made.collect()]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0 and len(starts) > 1
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfile.read_tokens(tokenfile.write_tokens(none, f"file://{tmp_path}/n")).count() == 0
 
@@ -39,3 +41,14 @@ def test_random_access(tmp_path):
     assert all(f.token(i) == ids[i] for i in [*range(0, 5000, 37), 511, 512, 4999])
     empty = tokenfile.TokenFile(files.write(f"file://{tmp_path}", "b.dac", tokenfile.pack(np.zeros(0), np.zeros(0), np.zeros(0, np.uint32))))
     assert empty.tokens().tolist() == []
+
+
+def test_null_and_repeated_doc_ids(spark, tmp_path):
+    rows = [(None, "b c"), (5, "x"), (5, "x"), (None, ""), (5, "y z"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in tokenfile.read_tokens(tokenfile.write_tokens(df, f"file://{tmp_path}/r", chunk_chars=2)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 1, 5, 5, 5]
+    of = lambda rows: sorted(r[2:] for r in rows)
+    want = expected([(-1 if d is None else d, t or "") for d, t in rows])
+    assert of(got) == of(want) and got[-1][1] + got[-1][2] == want[-1][1] + want[-1][2]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
