@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.bpe import _un, _z
-from headway.llm.common import parts, stage, table, texts
+from headway.llm.common import slices, stage, table, texts
 from headway.llm.suffix_tree import units
 
 BANDS, BAND = 56, 6
@@ -88,7 +88,7 @@ def _class(s: np.ndarray) -> int | None:
 
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(k, 200) for x in batches for k in range(0, x.num_rows, 200)):
+        for b in slices(batches):
             raw = [x.encode() for x in b.column(1).to_pylist()]
             sets = shingles(raw, words)
             m = [samples(s) if len(s) else None for s in sets]
@@ -158,7 +158,7 @@ def _links(t: pa.Table) -> pa.Table:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(k, 200) for x in batches for k in range(0, x.num_rows, 200)):
+        for b in slices(batches):
             sets = shingles([x.encode() for x in b.column(1).to_pylist()], words)
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([_z(s) for s in sets], pa.binary())], ["node", "set"])
 

@@ -6,14 +6,18 @@ is a block. Blocks go by their gram's hash to buckets, as a few bytes each:
 
 1. scan: number the units of a chunk of documents, keep the chunk's rows in a file of the shared folder,
    send the blocks of the chunk to their buckets, once for each different block.
-2. match: a block equal to an earlier one is removed whole. Grams with several different blocks ask the
-   chunks for their units; all other blocks need nothing more.
+2. match: identical blocks (by a 128-bit digest of their units) are one entry of the suffix structure; all
+   but the first are removed whole. Grams with several different blocks ask the chunks for their units.
 3. resolve: the suffixes (window starts) of different blocks of a gram are put in groups of equal windows
-   by the operator's own suffix structure; all but a group's first are removed. Grams with more than
-   `hot` different blocks send a hash for each window instead, which meet in buckets of their own.
+   by the operator's own suffix structure; all but a group's first are removed. Where a gram has more than
+   `hot` different blocks, its suffixes are split by a longer prefix, the whole window: each different
+   window of a chunk travels with its units, to the bucket of its digest, and meets its equals there in
+   the same suffix structure.
 4. apply: each chunk reads its file again and cuts out what the buckets removed.
 
-No step sends texts through a shuffle, gathers a hot block's copies, or compares pairs.
+There are so many buckets that each has the blocks of `bucket` bytes of text at most. No step sends texts
+through a shuffle, gathers a hot block's copies, or compares pairs. Anchors and hashes of grams only choose
+where suffixes meet; which windows are equal is settled by digests of whole blocks and by units.
 """
 
 from __future__ import annotations
@@ -29,30 +33,32 @@ from pyspark.sql import functions as F
 
 from headway.llm import files
 from headway.llm.bpe import _un, _z
-from headway.llm.common import parts, shared_dir, stage
+from headway.llm.common import parts, shared_dir, stage, text_bytes
 
 NULL_ID = -(2**63)
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 U = np.uint64
 ROWS = "kind string, key long, n long, body binary"
 _ROWS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
-#: One block: hash of its gram, of itself, document, row in the chunk, first window, anchor's offset from it, windows; the chunk.
-BLOCK = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("l", "<u4"), ("d", "<u2"), ("w", "<u2"), ("chunk", "<i8")])
+#: One block: 48 bits of its gram's hash, both halves of its digest, document, row in the chunk, first window, anchor's offset from it, windows; the chunk.
+BLOCK = np.dtype([("a", "<u8"), ("c", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("l", "<u4"), ("d", "<u2"), ("w", "<u2"), ("chunk", "<i8")])
 SPAN = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
 @dataclass(frozen=True)
 class Plan:
-    """units: batch of texts as bytes -> one uint64 array each. groups: (blocks, units, ends, starts) -> group of each window, by a suffix structure."""
+    """units: batch of texts as bytes -> an array each. mixed: units -> 64-bit numbers for grams. groups: (units, ends, starts, length) -> group of each window, by a suffix structure."""
 
     units: Callable
+    mixed: Callable
     groups: Callable
     length: int
     gram: int
     same_doc: bool  # an earlier start in the same document counts
     chunk: int = 16_000_000  # bytes of text in a chunk
     piece: int = 1_000_000  # units hashed at once
-    hot: int = 20_000  # different blocks of a gram that one task may hold
+    hot: int = 20_000  # different blocks of a gram that meet in one task
+    bucket: int = 32_000_000  # bytes of text whose blocks are in a bucket
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -79,7 +85,7 @@ def unpacked(b: bytes, dtype: np.dtype) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any stretch of units, from sums of units times powers of an odd base."""
+    """Hashes of any stretch of units, from sums of units times powers of an odd base: good enough to choose anchors and buckets, not to tell stretches apart."""
 
     def __init__(self, units: np.ndarray):
         n = len(units) + 1
@@ -100,13 +106,21 @@ class Hashes:
         return (self.sums[k:] - self.sums[:n]) * self.inverse[:n]
 
 
-def blocks_of(units: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Grams' hashes, blocks' hashes, first windows, anchor offsets and numbers of windows, for texts laid end to end."""
-    none = (np.zeros(0, U), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)))
+def digests(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit digest of each stretch of units."""
+    from xxhash import xxh3_128_digest
+
+    body, k = memoryview(np.ascontiguousarray(units)).cast("B"), units.itemsize
+    return np.frombuffer(b"".join([xxh3_128_digest(body[a:b]) for a, b in zip((start * k).tolist(), (end * k).tolist())]), "<u8").reshape(-1, 2)
+
+
+def blocks_of(units: np.ndarray, ends: np.ndarray, length: int, gram: int, mix: Callable) -> tuple[np.ndarray, ...]:
+    """Grams' hashes, blocks' digests, first windows, anchor offsets and numbers of windows, for texts laid end to end."""
+    none = (np.zeros(0, U), np.zeros((0, 2), U), *(np.zeros(0, np.int64) for _ in range(3)))
     if len(units) < length:
         return none
-    hashes, wide = Hashes(units), length - gram + 1
-    g = mixed(hashes.grams(gram))
+    wide = length - gram + 1
+    g = mixed(Hashes(mix(units)).grams(gram))
     low = (g & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U)
     s = 1
     while 2 * s <= wide:
@@ -125,7 +139,7 @@ def blocks_of(units: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tu
     last = np.append(first[1:] - 1, len(p) - 1)
     left, a = p[first], anchor[first]
     w, d = last - first + 1, a - left
-    return g[a], mixed(hashes.of(left, left + w + length - 1) + (d * 65536 + w).astype(U) * U(MIX2)), left, d, w
+    return g[a] & U(2**48 - 1), digests(units, left, left + w + length - 1), left, d, w
 
 
 def blocks(plan: Plan, docs: list, raw: list[bytes], chunk: int) -> np.ndarray:
@@ -133,10 +147,10 @@ def blocks(plan: Plan, docs: list, raw: list[bytes], chunk: int) -> np.ndarray:
 
     def flush() -> None:
         ends = np.cumsum([len(u) for *_, u in held])
-        a, c, left, d, w = blocks_of(np.concatenate([u for *_, u in held]), ends, plan.length, plan.gram)
+        a, c, left, d, w = blocks_of(np.concatenate([u for *_, u in held]), ends, plan.length, plan.gram, plan.mixed)
         at = np.searchsorted(ends, left, side="right")
         out = np.empty(len(a), BLOCK)
-        out["a"], out["c"], out["d"], out["w"], out["chunk"] = a, c, d, w, chunk
+        out["a"], out["c"], out["e"], out["d"], out["w"], out["chunk"] = a, c[:, 0], c[:, 1], d, w, chunk
         row = np.array([r for r, *_ in held], np.int64)
         out["row"], out["doc"] = row[at], np.array(docs, np.int64)[row[at]]
         out["l"] = left - np.append(0, ends[:-1])[at] + np.array([o for _, o, _ in held], np.int64)[at]
@@ -185,7 +199,7 @@ def cut_rows(b: np.ndarray, length: int) -> list[tuple]:
 
 
 def block_rows(kind: str, b: np.ndarray, buckets: int) -> list[tuple]:
-    to = ((b["a"] >> U(40)) % U(buckets)).astype(np.int64)
+    to = (b["a"] % U(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     at = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
     return [(kind, int(to[order[i]]), j - i, packed(b[order[i:j]])) for i, j in zip(at, [*at[1:], len(order)])]
@@ -197,8 +211,8 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated(b: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks in order of gram, block and place; which of them start a block; which have an equal block before them."""
-    b = b[np.lexsort((b["l"], b["row"], b["chunk"], b["doc"], b["c"], b["a"]))]
-    new = np.concatenate([[True], (b["a"][1:] != b["a"][:-1]) | (b["c"][1:] != b["c"][:-1])]) if len(b) else np.zeros(0, bool)
+    b = b[np.lexsort((b["l"], b["row"], b["chunk"], b["doc"], b["e"], b["c"], b["a"]))]
+    new = np.concatenate([[True], (b["a"][1:] != b["a"][:-1]) | (b["c"][1:] != b["c"][:-1]) | (b["e"][1:] != b["e"][:-1])]) if len(b) else np.zeros(0, bool)
     if same_doc:
         return b, new, ~new
     first = b["doc"][np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))] if len(b) else b["doc"]
@@ -266,41 +280,63 @@ def _read(plan: Plan, folder: str, chunk: int) -> tuple[pa.Table, list[bytes]]:
     return t, [x or b"" for x in t["text"].cast(pa.large_binary()).to_pylist()]
 
 
+#: Windows of a hot gram that are sent at once.
+WINDOWS = 20_000
+
+
 def _fetch(plan: Plan, folder: str, buckets: int):
-    """Blocks asked of a chunk -> their units, or the hashes of their windows, by bucket."""
+    """Blocks asked of a chunk -> their units; for hot grams, each different window with its units. Both by bucket."""
 
-    def run(t: pa.Table) -> pa.Table:
-        _, raw = _read(plan, folder, t["key"][0].as_py())
+    def sent(b: np.ndarray, u: list[np.ndarray], key: np.ndarray) -> list[tuple]:
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.diff(key[order], prepend=-1)).tolist()
         rows = []
-        asked = {k: [unpacked(x, BLOCK) for kind, x in zip(t["kind"].to_pylist(), t["body"].to_pylist()) if kind == k] for k in ("ask", "askhot")}
-        for kind, found in asked.items():
-            if not found:
-                continue
+        for i, j in zip(at, [*at[1:], len(order)]):
+            own = order[i:j]
+            head, body = packed(b[own]), _z(np.concatenate([u[k] for k in own.tolist()]))
+            rows.append(("units", int(key[own[0]]), j - i, len(head).to_bytes(8, "little") + head + body))
+        return rows
+
+    def asked(batches: list[pa.RecordBatch], kind: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows of the chunk with their blocks, in order."""
+        found = [unpacked(x, BLOCK) for t in batches for k, x in zip(t.column("kind").to_pylist(), t.column("body").to_pylist()) if k == kind]
+        if found:
             b = np.concatenate(found)
             b = b[np.argsort(b["row"], kind="stable")]
-            u, hashed = [], []
             at = np.flatnonzero(np.diff(b["row"].astype(np.int64), prepend=-1)).tolist()
-            for i, j in zip(at, [*at[1:], len(b)]):
-                own = plan.units([raw[b["row"][i]]])[0]
-                if kind == "ask":
-                    u += [own[x : x + y + plan.length - 1] for x, y in zip(b["l"][i:j].tolist(), b["w"][i:j].tolist())]
-                    continue
-                p = np.unique(np.concatenate([np.arange(x, x + y) for x, y in zip(b["l"][i:j].tolist(), b["w"][i:j].tolist())]))
-                h, out = Hashes(own).of(p, p + plan.length), np.empty(len(p), BLOCK)
-                out["a"], out["c"], out["doc"], out["row"], out["l"], out["d"], out["w"], out["chunk"] = mixed(h), h, b["doc"][i], b["row"][i], p, 0, 1, b["chunk"][i]
-                hashed.append(out)
-            if kind == "ask":
-                to = ((b["a"] >> U(40)) % U(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                at = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
-                for i, j in zip(at, [*at[1:], len(order)]):
-                    own = order[i:j]
-                    head, body = packed(b[own]), _z(np.concatenate([u[k] for k in own.tolist()]))
-                    rows.append(("units", int(to[own[0]]), j - i, len(head).to_bytes(8, "little") + head + body))
-            else:
-                w, _, seen = repeated(np.concatenate(hashed), plan.same_doc)
-                rows += cut_rows(w[seen], plan.length) + block_rows("window", w[~seen], buckets)
-        return pa.Table.from_batches([batch(rows)])
+            yield from ((int(b["row"][i]), b[i:j]) for i, j in zip(at, [*at[1:], len(b)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # what a chunk is asked for is bounded by the chunk
+        _, raw = _read(plan, folder, held[0].column("key")[0].as_py())
+        u, b = [], []
+        for row, own in asked(held, "ask"):
+            text = plan.units([raw[row]])[0]
+            u += [text[x : x + y + plan.length - 1] for x, y in zip(own["l"].tolist(), own["w"].tolist())]
+            b.append(own)
+        if b:
+            b = np.concatenate(b)
+            yield batch(sent(b, u, (b["a"] % U(buckets)).astype(np.int64)))
+        windows = []
+        for row, own in asked(held, "askhot"):
+            p = np.unique(np.concatenate([np.arange(x, x + y) for x, y in zip(own["l"].tolist(), own["w"].tolist())]))
+            c, out = digests(plan.units([raw[row]])[0], p, p + plan.length), np.empty(len(p), BLOCK)
+            out["a"], out["c"], out["e"], out["doc"], out["row"], out["l"], out["d"], out["w"], out["chunk"] = c[:, 0] & U(2**48 - 1), c[:, 0], c[:, 1], own["doc"][0], row, p, 0, 1, own["chunk"][0]
+            windows.append(out)
+        if windows:
+            w, _, seen = repeated(np.concatenate(windows), plan.same_doc)
+            yield batch(cut_rows(w[seen], plan.length))
+            w = w[~seen]
+            w = w[np.argsort(w["row"], kind="stable")]
+            now, text = -1, None
+            for k in range(0, len(w), WINDOWS):
+                own, u = w[k : k + WINDOWS], []
+                for row, x in zip(own["row"].tolist(), own["l"].tolist()):
+                    if row != now:
+                        now, text = row, plan.units([raw[row]])[0]
+                    u.append(text[x : x + plan.length])
+                # buckets of their own, beside those of the blocks
+                yield batch(sent(own, u, buckets + ((own["c"] >> U(16)) % U(buckets)).astype(np.int64)))
 
     return run
 
@@ -313,7 +349,7 @@ def _resolve(plan: Plan):
         for x in t["body"].to_pylist():
             n = int.from_bytes(x[:8], "little")
             heads.append(unpacked(x[8 : 8 + n], BLOCK))
-            bodies.append(_un(x[8 + n :], U))
+            bodies.append(_un(x[8 + n :], plan.units([b"x"])[0].dtype))
         b, units = np.concatenate(heads), np.concatenate(bodies)
         w = b["w"].astype(np.int64)
         size = w + plan.length - 1
@@ -336,15 +372,15 @@ def _resolve(plan: Plan):
 def removed(docs: DataFrame, plan: Plan, apply: Callable, schema: str, carried: list[str] = ()) -> DataFrame:
     """apply: (texts as bytes, spans as a list of arrays of start and end) -> columns of schema. Returns in_<column> for those carried, doc_id, and the columns of schema."""
     spark = docs.sparkSession
-    folder, buckets = shared_dir(spark), 2 * parts(spark)
+    folder, tasks = shared_dir(spark), 2 * parts(spark)
+    buckets = max(tasks, -(-text_bytes(docs) // plan.bucket))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(f"in_{c}") for c in carried))
     kinds = {f"in_{c}": t for c, t in ((f.name, f.dataType.simpleString()) for f in docs.schema) if c in carried}
     scanned = stage(rows.mapInArrow(_scan(plan, folder, buckets), ROWS), "none")
     matched = stage(scanned.where("kind = 'block'").groupBy("key").applyInArrow(_match(plan, buckets), ROWS), "none")
     fetched = stage(matched.where("kind in ('ask', 'askhot')").groupBy("key").applyInArrow(_fetch(plan, folder, buckets), ROWS), "none")
     resolved = fetched.where("kind = 'units'").groupBy("key").applyInArrow(_resolve(plan), ROWS)
-    windows = fetched.where("kind = 'window'").groupBy("key").applyInArrow(_match(plan, buckets), ROWS)
-    cuts = reduce(DataFrame.unionByName, [x.where("kind = 'cut'") for x in (scanned, matched, fetched, resolved, windows)])
+    cuts = reduce(DataFrame.unionByName, [x.where("kind = 'cut'") for x in (scanned, matched, fetched, resolved)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         t, raw = _read(plan, folder, left["key"][0].as_py())
@@ -355,5 +391,5 @@ def removed(docs: DataFrame, plan: Plan, apply: Callable, schema: str, carried:
 
     out = ", ".join(["doc_id long", *(f"`{c}` {t}" for c, t in kinds.items()), schema])
     # a row stands for a whole chunk file here, so that row sizes must not decide how many tasks there are
-    chunks = scanned.where("kind = 'chunk'").select("key").repartition(buckets, "key")
-    return chunks.groupBy("key").cogroup(cuts.repartition(buckets, "key").groupBy("key")).applyInArrow(cut, out)
+    chunks = scanned.where("kind = 'chunk'").select("key").repartition(tasks, "key")
+    return chunks.groupBy("key").cogroup(cuts.repartition(tasks, "key").groupBy("key")).applyInArrow(cut, out)

@@ -7,8 +7,11 @@ first 13 bytes, and longer ties are resolved by the ranks of cover positions: an
 shift of less than 13 that takes both into the cover. Neighbours that agree on `length` bytes are equal
 windows. Memory is bounded by the bucket and the cover's ranks.
 
+Identical blocks count as one entry of the suffix array (a 128-bit digest tells them; see repeats).
+
 Texts count as UTF-8 bytes; null is empty; matches don't cross documents. Rows that repeat a doc_id are
 documents of their own, in reading order; a null doc_id comes first. Extra columns are carried on request.
+Very long texts are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ LENGTH = 100
 #: Suffixes sorted at once.
 BUCKET = 200_000
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
-_BACK = np.argsort(_BYTES)
-_SORTED = _BYTES[_BACK]
 
 
 def units(raw: list[bytes]) -> list[np.ndarray]:
-    return [_BYTES[np.frombuffer(x, np.uint8)] for x in raw]
+    return [np.frombuffer(x, np.uint8) for x in raw]
+
+
+def mixed(units_: np.ndarray) -> np.ndarray:
+    return _BYTES[units_]
 
 
 def shifts() -> np.ndarray:
@@ -101,9 +106,8 @@ def sorted_bucket(text: np.ndarray, rank: np.ndarray, p: np.ndarray, table_: np.
     return out
 
 
-def groups(units_: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, bucket: int = BUCKET) -> np.ndarray:
+def groups(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, bucket: int = BUCKET) -> np.ndarray:
     """A number for each suffix start; equal for equal windows of length bytes."""
-    text = _BACK[np.searchsorted(_SORTED, units_)].astype(np.uint8)
     size = np.diff(ends, prepend=0)
     block = np.repeat(np.arange(len(ends)), size)
     rank, table_ = cover_ranks(text, np.repeat(ends, size), block), shifts()
@@ -140,7 +144,7 @@ def _cut(raw: list[bytes], spans: list[np.ndarray]) -> dict:
 
 
 def plan(length: int = LENGTH, **more) -> repeats.Plan:
-    return repeats.Plan(units=units, groups=groups, length=length, gram=max(1, length // 3 - 1), same_doc=True, **more)
+    return repeats.Plan(units=units, mixed=mixed, groups=groups, length=length, gram=max(1, length // 3 - 1), same_doc=True, **more)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, carried: list[str] = (), **more) -> DataFrame:

@@ -5,9 +5,11 @@ task, by prefixes of variable length: one word, and longer where a group is larg
 Each group's subtree is grown from its prefix, a word at a level, and branches with one suffix are left;
 internal nodes as deep as the window are the passages that repeat.
 
-Words are runs of bytes other than blanks (hexadecimal 20, 09 to 0D), unchanged; null text has none. Only
-documents with a smaller doc_id count, so rows that repeat a doc_id don't remove from each other, and a
-null doc_id counts as the smallest. Extra columns are carried on request.
+Words are runs of bytes other than blanks (hexadecimal 20, 09 to 0D), unchanged, and count as their 64-bit
+xxh3 hashes; null text has none. Identical blocks count as one entry of the trees (a 128-bit digest tells them;
+see repeats). Only documents with a smaller doc_id count, so rows that repeat a doc_id don't remove from each
+other, and a null doc_id counts as the smallest. Extra columns are carried on request. Very long texts and words
+are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,19 +25,36 @@ from headway.llm.common import table
 WORDS = 50
 #: Suffixes of a subtree that is grown at once.
 SUBTREE = 100_000
-_BYTES = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64)
-_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Words whose hashes a task keeps at once.
+KNOWN = 100_000
+
+
+class Words(dict):
+    """The hash of each word, once for each distinct word."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = h = xxh3_64_intdigest(word)
+        return h
+
+
+_WORDS = Words()
 
 
 def units(raw: list[bytes]) -> list[np.ndarray]:
     """A hash for each word of each text."""
-    body = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    blank = _BLANK[body]
-    before = np.concatenate([[True], blank[:-1]])
-    start, end = np.flatnonzero(before & ~blank), np.flatnonzero(blank & ~before)
-    h = repeats.mixed(repeats.Hashes(_BYTES[body]).of(start, end) + (end - start).astype(np.uint64))
-    ends = np.cumsum([len(x) + 1 for x in raw])
-    return np.split(h, np.searchsorted(start, ends[:-1]))
+    out = []
+    for x in raw:
+        w = x.split()
+        out.append(np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w)))
+    return out
+
+
+def mixed(units_: np.ndarray) -> np.ndarray:
+    return units_
 
 
 def prefix_groups(words: np.ndarray, starts: np.ndarray, length: int, most: int) -> list[tuple[int, np.ndarray]]:
@@ -100,7 +119,7 @@ def _cut(raw: list[bytes], spans: list[np.ndarray]) -> dict:
 
 def dedup(docs: DataFrame, words: int = WORDS, carried: list[str] = (), **more) -> DataFrame:
     """doc_id, n_words, n_removed and the words kept (joined by a blank, UTF-8 bytes): every word of a passage of so many words that a smaller doc_id has is gone."""
-    plan = repeats.Plan(units=units, groups=groups, length=words, gram=max(1, words // 3), same_doc=False, **more)
+    plan = repeats.Plan(units=units, mixed=mixed, groups=groups, length=words, gram=max(1, words // 3), same_doc=False, **more)
     return repeats.removed(docs, plan, _cut, "n_words long, n_removed long, kept binary", list(carried))
 
 

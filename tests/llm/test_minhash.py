@@ -76,3 +76,12 @@ def test_query(spark):
     got = minhash.op2_minhash(spark, sf).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_words_of_the_same_structure(spark):
+    """Long words over two letters whose sums by powers of an odd base agree are different words."""
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    df = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.classes(df, 4).collect()} == {1: 1, 2: 2, 3: 1}

@@ -62,7 +62,7 @@ def test_structures():
     text[2000:] = text[:2000]
     ends = np.array([1500, 1533, 4000])
     starts = np.array([p for a, b in zip([0, *ends], ends) for p in range(a, b - 30)])
-    g = suffix_array.groups(suffix_array._BYTES[text], ends, starts, 30, bucket=700)
+    g = suffix_array.groups(text, ends, starts, 30, bucket=700)
     want = {}
     ids = [want.setdefault(text[p : p + 30].tobytes(), len(want)) for p in starts]
     assert len(set(zip(g.tolist(), ids))) == len(set(g.tolist())) == len(set(ids))
@@ -82,3 +82,22 @@ def test_queries(spark):
     assert {r[0]: tuple(r)[1:] for r in suffix_array.op1_suffix_array(spark, sf).collect()} == want
     want = {d: (*x[:2], hashlib.sha256(x[2]).hexdigest()) for d, x in brute_words(rows, 50).items()}
     assert {r[0]: tuple(r)[1:] for r in suffix_tree.op10_suffix_tree(spark, sf).collect()} == want
+
+
+def test_words_of_the_same_structure(spark):
+    """Long words over two letters whose sums by powers of an odd base agree are different words."""
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    rows = [(1, " ".join(f"w{i}" for i in range(5)) + " " + x + " t u"), (2, " ".join(f"w{i}" for i in range(5)) + " " + y + " t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in suffix_tree.dedup(df, 6).collect()} == brute_words(rows, 6)
+    assert {r.doc_id: r.n_removed for r in suffix_array.dedup(df, 100).collect()} == {d: n for d, (_, n, *_) in brute_bytes(rows, 100).items()}
+
+
+def test_null_and_repeated_doc_ids(spark):
+    """Rows of one doc_id (or of none) are documents of their own: op1 keeps the first, op10 removes from no row of the same doc_id."""
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(3, text), (3, text), (None, "x"), (None, "x"), (4, text)], "doc_id long, text string").repartition(1)
+    assert sorted((r.doc_id or -1, r.n_removed) for r in suffix_array.dedup(df).collect()) == sorted([(-1, 0), (-1, 0), (3, 0), (3, len(text)), (4, len(text))])
+    assert sorted((r.doc_id or -1, r.n_removed) for r in suffix_tree.dedup(df).collect()) == [(-1, 0), (-1, 0), (3, 0), (3, 0), (4, 60)]
