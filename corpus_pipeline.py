@@ -1,7 +1,9 @@
 """A training-data pipeline: each stage works on all that the one before kept.
 
 Stages 1 to 4 return the columns of documents. Rows are told apart by their texts: rows without a doc_id, or
-that repeat one, are judged each by itself; nulls are empty texts. n_chars follows the text.
+that repeat one, are judged each by itself; nulls are empty texts. n_chars follows the text. Of near copies the
+row with the least doc_id stays (then the least digest of its text; of rows that agree in both, any). Other columns
+are kept by stages 1 to 4; an empty table gives no rows; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, and whether they decode to the text again."""
+    """doc_id, ids, n_tokens, and a digest of what they decode to."""
     both = bpe.decode(bpe.encode(docs))
     return both.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 

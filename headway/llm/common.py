@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of whole texts in an Arrow batch, where the session has Spark's default.
+_BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Whole texts are long rows, so the session's Arrow batches become smaller, unless they were set."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, TEXT_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,13 +7,20 @@ versions subtract cell by cell. Peeling takes a cell with one digest, removes th
 cells, and so on, until the digests that differ are all found; groups where that fails are tried again
 larger, with other cells. The count of differing digests gives the Jaccard likeness exactly.
 
-The fingerprint is the number of digests and the sketch of two groups, in hexadecimal. All of it is
-DataFrame operations. A null text is empty; two texts without paragraphs have likeness 1. Rows are taken
-in order of doc_id (null first), rows that repeat a doc_id in order of their texts; each gives a row.
+The fingerprint is the number of digests and the sketch of two groups (counts of four bytes, digests and checks
+of eight), in base64. Two fingerprints subtract and peel if few digests differ; where that fails, larger sketches
+are made from the texts' digests, which the fingerprints don't have. All of it is DataFrame operations. A null text
+is empty; two texts without paragraphs have likeness 1. Rows are taken in order of doc_id (null first), rows that
+repeat a doc_id in order of their texts; each gives a row. Other columns are ignored, an empty table gives
+no rows, and very long texts are taken whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +28,7 @@ from headway.llm.common import parts, stage, table, texts
 
 PARAGRAPH = r"[^\n]{100,}?[.!?](?=\s)|[^\n]+"
 ROWS, COLUMNS, GROUPS, LOAD, STEPS = 3, 4, 2, 4, 8
-#: Sizes tried before what still fails is compared digest by digest.
-LEVELS = 12
-#: Ranges of doc_id, each sorted in a task.
-MOST_RANGES = 4096
+NULL_ID = -(2**63)
 
 
 def digests(text: Column) -> Column:
@@ -72,32 +76,55 @@ def peeled(cells: str, level: int) -> Column:
     )
 
 
-def _range_of(cuts: list[int]) -> Column:
-    """Which range a doc_id is in, by a binary tree of comparisons."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(tree(0, len(cuts)))
+def _place(x: str, cuts: list[int]) -> Column:
+    """How many of the sorted cuts aren't larger than x, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    mid = "cast((s.lo + s.hi) div 2 as int)"
+    found = (
+        f"aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> if(s.lo >= s.hi, s, if(get(cuts, {mid}) <= {x}, "
+        f"named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid}))), s -> s.lo)"
+    )
+    said = ", ".join(f"{c}L" if c > NULL_ID else "cast(-9223372036854775808 as bigint)" for c in cuts)
+    return F.expr(f"transform(array(array({said})), cuts -> {found})[0]")
+
+
+def _ranges(docs: DataFrame) -> DataFrame:
+    """docs with at and sub, in whose order ranges of (doc_id, text) follow one another. A doc_id (or none) with a large share of the rows is split by its texts' first bytes."""
+    n = parts(docs.sparkSession)
+    quantiles = lambda x, k: F.percentile_approx(x, [i / k for i in range(1, k)] or [0.5], 20 * k + 1000)
+    q = docs.agg(quantiles("doc_id", n).alias("q"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("rows")).first()
+    times = Counter(q.q or [])
+    cuts = sorted(times)
+    docs = docs.withColumn("at", F.when(F.col("doc_id").isNull(), -1).otherwise(_place("doc_id", cuts))).withColumn("sub", F.lit(0))
+    # fewer than n, as each stands for a share of 1/n or more
+    many = {c: k for c, k in times.items() if k > 1} | ({None: -(-n * q.none // q.rows)} if n * q.none > q.rows else {})
+    if many:
+        docs = docs.withColumn("first", F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"))
+        own = {c: F.col("doc_id").isNull() if c is None else F.col("doc_id") == c for c in many}
+        found = docs.agg(*(quantiles(F.when(own[c], F.col("first")), k).alias(str(c)) for c, k in many.items())).first()
+        sub = F.lit(0)
+        for c in many:
+            own_cuts = sorted(set(found[str(c)] or []))
+            # those of the range that have larger ids follow
+            behind = F.lit(False) if c is None else (F.col("at") == bisect_right(cuts, c)) & (F.col("doc_id") > c)
+            sub = F.when(own[c], _place("first", own_cuts)).when(behind, len(own_cuts) + 1).otherwise(sub)
+        docs = docs.withColumn("sub", sub).drop("first")
+    return docs
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next, the text of the next document (after the last the first), by one shuffle of the texts."""
-    spark = docs.sparkSession
-    n = min(parts(spark), MOST_RANGES)
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n + 1000).alias("q")).first().q or []))
-    dealt = docs.withColumn("at", _range_of(cuts)).repartition(n, "at")
-    w = Window.partitionBy("at").orderBy("doc_id", "text")
-    rows = dealt.select("*", F.lead("text").over(w).alias("lead"), F.row_number().over(w).alias("place"))
-    # one row for each range; the first range follows the last
-    alone = Window.orderBy("at")
-    firsts = rows.where("place = 1").select("at", "text")
-    whole = Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("at", F.coalesce(F.lead("text").over(alone), F.first("text").over(whole)).alias("after"))
-    return rows.join(firsts, "at", "left").select("doc_id", "text", F.coalesce("lead", "after").alias("next"))
+    rows = _ranges(docs)
+    # the range that follows each range, the first one after the last: a few numbers for each partition
+    alone = Window.orderBy("at", "sub")
+    whole = alone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    this = F.struct("at", "sub")
+    after = rows.select("at", "sub").distinct().select("at", "sub", F.coalesce(F.lead(this).over(alone), F.first(this).over(whole)).alias("after"))
+    w = Window.partitionBy("at", "sub").orderBy("doc_id", "text")
+    dealt = rows.repartition(parts(docs.sparkSession), "at", "sub").select("*", F.lead("text").over(w).alias("lead"), F.row_number().over(w).alias("place"))
+    firsts = dealt.where("place = 1").select(this.alias("after"), F.col("text").alias("first")).join(after, "after").select("at", "sub", "first")
+    return dealt.join(firsts, ["at", "sub"], "left").select("doc_id", "text", F.coalesce("lead", "first").alias("next"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -119,10 +146,10 @@ def _sided(sketches: DataFrame, by: list[str], sides: str) -> DataFrame:
 
 
 def _text(n: str, side: str) -> Column:
-    """A sketch in hexadecimal, from its groups' cells in order."""
-    cell = "concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'), substr(lpad(hex(c.c), 16, '0'), 1, 4))"
+    """A sketch in base64, from its groups' cells in order."""
+    cell = "concat(lpad(hex(c.n), 8, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 16, '0'))"
     groups = F.expr(f"array_join(transform(flatten(transform(array_sort(collect_list(named_struct('g', g, 'cells', coalesce({side}, {_EMPTY})))), y -> y.cells)), c -> {cell}), '')")
-    return F.concat(F.lpad(F.hex(F.first(n)), 6, "0"), groups)
+    return F.base64(F.unhex(F.concat(F.lpad(F.hex(F.first(n)), 8, "0"), groups)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -149,14 +176,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     state = head.select("id", F.explode(kinds).alias("s")).select("id", "s.*").withColumn("size", F.lit(GROUPS).cast("long"))
     found = [state.select("id", "kind", "d")]
     own = rows.select("id", "a", F.explode(F.array(F.struct(F.lit("e").alias("kind"), F.col("e").alias("o")), F.struct(F.lit("b").alias("kind"), F.col("b").alias("o")))).alias("s")).select("id", "a", "s.kind", "s.o")
-    for level in range(1, LEVELS + 1):
+    # sizes double and cells are dealt anew, until nothing fails
+    for level in count(1):
         failed = state.where(F.size("bad") > 0).select("id", "kind", "bad", F.col("size").alias("old"))
         pairs = failed.join(own, ["id", "kind"])
         for c in ("a", "o"):  # digests of groups that failed
             pairs = pairs.withColumn(c, F.expr(f"filter({c}, z -> array_contains(bad, shiftrightunsigned(z, 20) & (old - 1)))"))
-        if level == LEVELS:
-            found.append(pairs.select("id", "kind", (F.size(F.array_except("a", "o")) + F.size(F.array_except("o", "a"))).cast("long").alias("d")))
-            break
         wanted = F.pow(F.lit(2.0), F.ceil(F.log2((F.size("a") + F.size("o")) / F.lit(float(LOAD)) + 1))).cast("long")
         sizes = F.greatest(F.col("old") * 2, wanted * F.ceil(F.col("old") / F.greatest(F.size("bad"), F.lit(1)))) if level == 1 else F.col("old") * 2
         exploded = _exploded(pairs.withColumn("size", F.least(sizes, F.lit(2**30))), {"a": "a", "b": "o"}, F.col("size"), ["id", "kind"])

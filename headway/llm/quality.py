@@ -5,13 +5,14 @@ on toxicity (insults: a given list and words that labelled rows show). They over
 the two, expectation-maximisation over the counts of vote patterns estimates how often each labeller is
 right, and so the posterior of each pattern. Those posterior labels train a linear scorer over hashed
 features (words, the last three character classes of words, and the votes): a feature's weight is its
-log-odds over all documents, kept where it is significant. A document that either score finds bad is
-rejected.
+log-odds over all documents, kept where it is significant and STRONG: weaker features depend on each other too
+much for their log-odds to be added up. A document that either score finds bad is rejected.
 
 Counts of votes and features cover all documents; only the insult words come from labelled rows, at most
-MAX_LABELLED of them by hash. Without labelled rows the given list stands alone. Null, empty and blank
-texts have no features: their scores are the scorer's bias, and they are kept. Rows that
-repeat a doc_id are judged each by its own text.
+MAX_LABELLED of them by hash (ties by doc_id), all that qualify. Features are hashed to DIMENSIONS numbers, which
+bounds the model. Without labelled rows the given list stands alone. Null, empty and blank texts have no features:
+their scores are the scorer's bias, and they are kept. Rows that repeat a doc_id, or have none, are judged each by
+its own text, very long ones whole; other columns are ignored, or kept by `filtered`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import repeats
-from headway.llm.common import stage, table, texts
-
-#: Labelled rows that the insult words are read from, and how many words at most.
-MAX_LABELLED, MAX_WORDS = 4_000, 200
-DIMENSIONS = 2**30
-#: A feature's log-odds must be so many standard errors away from nothing, and so large; the model has so many at most.
-SIGNIFICANT, STRONG, MODEL = 5.0, 4.0, 4096
+from headway.llm.common import slices, stage, table, texts
+
+#: Labelled rows that the insult words are read from.
+MAX_LABELLED = 20_000
+DIMENSIONS = 2**22
+#: A feature's log-odds must be so many standard errors away from nothing, and so large.
+SIGNIFICANT, STRONG = 5.0, 4.0
+#: Counts that a task holds before it sums or sends them.
+HELD = 400_000
 #: Groups of near copies that must share a feature, at least.
 GROUPS = 5
 #: The largest rate of false votes of a labeller on good documents.
@@ -133,7 +136,7 @@ def insult_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
         return []
     counts = words.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("group"))).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     chosen = counts.where((F.col("a") >= max(3, 0.01 * n[1])) & (F.col("a") / n[1] > 200 * F.col("b") / n[0]))
-    return [r.word for r in chosen.orderBy(F.desc("a"), "word").limit(MAX_WORDS).collect()]
+    return [r.word for r in chosen.orderBy("word").collect()]
 
 
 def em(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
@@ -159,7 +162,7 @@ def em(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple[dict[
 _COUNTS = "pattern int, feature int, n long, bits long"
 
 
-def _count(given: np.ndarray, learned: np.ndarray):
+def _count(given: np.ndarray, learned: np.ndarray, most: int = HELD):
     """Counts of documents by vote pattern (feature -1) and by pattern and feature, a row for each in a task.
 
     bits has a bit for each group of near copies (by their least word hash), to tell how many groups there are at least.
@@ -169,6 +172,9 @@ def _count(given: np.ndarray, learned: np.ndarray):
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
         held, size = [none], 0
 
+        def sent(keys: np.ndarray, totals: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(((keys & (2**32 - 1)) - 1).astype(np.int32)), pa.array(totals), pa.array(bits.view(np.int64))], ["pattern", "feature", "n", "bits"])
+
         def summed() -> tuple[np.ndarray, ...]:
             keys, n, bits = (np.concatenate(x) for x in zip(*held))
             if not len(keys):
@@ -177,17 +183,20 @@ def _count(given: np.ndarray, learned: np.ndarray):
             at = np.flatnonzero(np.diff(keys[order], prepend=-1))
             return keys[order][at], np.add.reduceat(n[order], at), np.bitwise_or.reduceat(bits[order], at)
 
-        for b in (x.slice(k, 400) for x in batches for k in range(0, x.num_rows, 400)):
+        for b in slices(batches):
             own = Batch([x.encode() for x in b.column(0).to_pylist()])
             votes = own.votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
             doc, feature = own.features()
             bit = U(1) << (own.groups() & U(63))
             held.append((np.concatenate([votes << 32, (votes[doc] << 32) + feature + 1]), np.ones(own.n + len(doc), np.int64), np.concatenate([bit, bit[doc]])))
             size += len(held[-1][0])
-            if size > 2_000_000:
-                held, size = [summed()], 0
-        keys, totals, bits = summed()
-        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(((keys & (2**32 - 1)) - 1).astype(np.int32)), pa.array(totals), pa.array(bits.view(np.int64))], ["pattern", "feature", "n", "bits"])
+            if size > most:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > most // 2:  # too many different ones to hold
+                    yield sent(*held[0])
+                    held, size = [none], 0
+        yield sent(*summed())
 
     return run
 
@@ -215,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame | None) -> dict:
             rows = counts.where("feature >= 0").join(post_of, "pattern").groupBy("feature").agg(F.sum(F.col("n") * F.col("post")).alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or(F.when(F.col("post") > 0.5, F.col("bits")))).alias("groups"))
             odds = F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("a") + 0.5) / (total - n1 + 1)))
             rows = rows.where(F.col("groups") >= GROUPS).select("feature", odds.alias("w"), (odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))).alias("z"))
-            found = rows.where((F.col("z") > SIGNIFICANT) & (F.col("w") > STRONG)).orderBy(F.desc("z"), "feature").limit(MODEL).collect()
+            found = rows.where((F.col("z") > SIGNIFICANT) & (F.col("w") > STRONG)).collect()  # DIMENSIONS at most
         found = sorted((r.feature, min(r.w, 8.0)) for r in found)
         votes = np.zeros(len(JUNK) + len(TOXIC))
         votes[first : first + k] = np.log(hit / false)
@@ -226,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame | None) -> dict:
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in (x.slice(k, 400) for x in batches for k in range(0, x.num_rows, 400)):
+        for b in slices(batches):
             own = Batch([x.encode() for x in b.column(1).to_pylist()])
             doc, feature = own.features()
             votes, s = own.votes(*m["words"]), []
@@ -242,7 +251,7 @@ def _score(model):
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, text, junk_score, toxic_score, kept."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # MODEL features and MAX_WORDS words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS features and the words of MAX_LABELLED rows at most
     rows = texts(docs).mapInArrow(_score(held), "doc_id long, text string, junk_score double, toxic_score double")
     return rows.withColumn("kept", (F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0))
 

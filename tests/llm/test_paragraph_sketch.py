@@ -43,3 +43,13 @@ def test_query(spark):
     for r in out.collect():
         by.setdefault(rows[[d for d, _ in rows].index(r.doc_id)][1], set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in by.values()) and len({f for v in by.values() for f in v}) > 100
+
+
+def test_null_and_hot_doc_ids(spark):
+    """Half of the rows without a doc_id, a quarter with the same one: taken in order of their texts."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, None, 7, rng.randint(0, 30)]), "\n".join(rng.choice("abcdé") * rng.randint(1, 9) for _ in range(rng.randint(0, 12)))) for _ in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute([(-1 if d is None else d, t) for d, t in rows])
+    have = [(-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in ps.fingerprints(ps.texts(df)).collect()]
+    assert sorted(have) == sorted(want)

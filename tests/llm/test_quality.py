@@ -9,6 +9,9 @@ def test_edges(spark):
     model = Q.train(df, spark.createDataFrame([(5, 1, 1), (4, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int"))
     got = {(r.doc_id, r.text): r.kept for r in Q.score(df, model).collect()}
     assert len(got) == 9 and {d for (d, _), k in got.items() if not k} == {5, 6, 7, 8}
+    nulls = spark.createDataFrame([(None, "You worthless idiot, what a moron."), (None, "A calm text"), (None, None)], "doc_id long, text string")
+    assert sorted(r.kept for r in Q.score(nulls, model).collect()) == [False, True, True]
+    assert [r.text for r in Q.filtered(nulls, model).collect()] == ["A calm text", None]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert Q.score(none, Q.train(none, None)).count() == 0
 
@@ -29,3 +32,14 @@ def test_held_out(spark):
     got = Q.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     bad = (got.quality == 0) | (got.toxic == 1)
     assert (~got.kept[bad]).mean() > 0.9 and got.kept[~bad].mean() > 0.98
+
+
+def test_counts_are_the_same_in_any_slices(spark):
+    """What a task sends before its end adds up to the same counts and so to the same model."""
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 60))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    none = Q.hashed([]), Q.hashed([])
+
+    def counts(*most):
+        return {(r.pattern, r.feature): (r.n, r.bits) for r in df.select("text").mapInArrow(Q._count(*none, *most), Q._COUNTS).groupBy("pattern", "feature").agg({"n": "sum", "bits": "bit_or"}).toDF("pattern", "feature", "n", "bits").collect()}
+    assert {k: n for k, (n, _) in counts(50).items()} == {k: n for k, (n, _) in counts().items()}
