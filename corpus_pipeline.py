@@ -28,8 +28,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of a hundred bytes that start earlier; a character that is cut in two goes."""
-    kept = suffix_array.dedup(docs, carried=docs.columns)
-    out = kept.withColumn("text", F.when(F.col("n_removed") == 0, F.col("in_text")).otherwise(suffix_array.as_text("kept")))
+    kept = suffix_array.dedup_text(docs, carried=docs.columns)
+    out = kept.withColumn("text", F.when(F.col("n_removed") == 0, F.col("in_text")).otherwise(F.col("kept")))
     columns = {c: F.col(f"in_{c}") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.char_length(F.coalesce("text", F.lit(""))).cast(dict(docs.dtypes)["n_chars"])
@@ -43,7 +43,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and a digest of what they decode to."""
-    both = bpe.decode(bpe.encode(docs))
+    both = bpe.round_trip(docs)
     return both.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import files
-from headway.llm.common import parts, shared_dir, slices, stage, table, text_bytes, texts
+from headway.llm.common import freed, parts, release, shared_dir, slices, stage, table, text_bytes, texts
 
 #: Fixed value: the word pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,6 +38,7 @@ BUCKET_BYTES = 32_000_000
 #: Words whose ids are joined at once.
 WORDS = 2**18
 ENCODED = "doc_id long, ids binary"
+DECODED = ENCODED + ", text string"
 NULL_ID = -(2**63)
 
 
@@ -138,6 +139,8 @@ def _number(buckets: int, specials: list[str], chunk_chars: int, folder: str):
                     seen.clear()
         if ids:
             yield flush()
+        seen.clear()
+        release()
 
     return run
 
@@ -208,12 +211,12 @@ def by_chunk(rows: DataFrame, total: int, folder: str, spec: str, chunk_chars: i
     held = spark.sparkContext.broadcast(spec)  # the vocabulary file
     buckets = max(2 * parts(spark), -(-total // BUCKET_BYTES))
     words = stage(rows.mapInArrow(_number(buckets, specials, chunk_chars, folder), _CODED), "none")
-    coded = words.where("bucket >= 0").select("chunk", "bucket", "lens", "body").groupBy("bucket").applyInArrow(_encode_bucket(held), "chunk string, bucket int, lens binary, body binary")
+    coded = words.where("bucket >= 0").select("chunk", "bucket", "lens", "body").groupBy("bucket").applyInArrow(freed(_encode_bucket(held)), "chunk string, bucket int, lens binary, body binary")
 
     def chunk(left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(left["chunk"][0].as_py(), *_join(folder, left, right))
 
-    return words.where("bucket < 0").select("chunk", "docs", "lens").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(chunk, schema)
+    return words.where("bucket < 0").select("chunk", "docs", "lens").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(freed(chunk), schema)
 
 
 def spec_of(tokenizer: str | None) -> str:
@@ -226,15 +229,30 @@ def as_binary(body: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(body)])
 
 
+def _coded(ids: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), as_binary(flat.astype("<u4"), 4 * ends)], ["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text, as the tokenizers library gives without special tokens added."""
 
-    def finish(_: str, ids: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> pa.Table:
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NULL_ID), "ids": as_binary(flat.astype("<u4"), 4 * ends)})
+    def finish(_: str, *found: np.ndarray) -> pa.Table:
+        return pa.Table.from_batches([_coded(*found)])
 
     return by_chunk(texts(docs), text_bytes(docs), shared_dir(docs.sparkSession), spec_of(tokenizer), chunk_chars, finish, ENCODED)
 
 
+def round_trip(docs: DataFrame, tokenizer: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """decode(encode(docs)), the ids joined to their pieces in the task that has just made them."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast([*pieces(tokenizer), b""])  # the vocabulary file bounds it
+
+    def finish(_: str, *found: np.ndarray) -> pa.Table:
+        return pa.Table.from_batches(list(_decoded(held.value)(iter([_coded(*found)]))))
+
+    return by_chunk(texts(docs), text_bytes(docs), shared_dir(spark), spec_of(tokenizer), chunk_chars, finish, DECODED)
+
+
 def pieces(tokenizer: str | None = None) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; an id without a piece has none."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -257,20 +275,23 @@ def _said(piece: pa.Array, ids: pa.Array) -> list[str]:
     return [str(body[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
-def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, ids and text: each id joins its piece; bytes that aren't UTF-8 become replacement characters, as the library does."""
-    held = encoded.sparkSession.sparkContext.broadcast([*pieces(tokenizer), b""])  # the vocabulary file bounds it
-
+def _decoded(said: list[bytes]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pa.array(held.value, pa.binary())
+        piece = pa.array(said, pa.binary())
         for b in slices(batches, "ids", 1000, 4_000_000):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_said(piece, b.column(1)), pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return run
+
+
+def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, ids and text: each id joins its piece; bytes that aren't UTF-8 become replacement characters, as the library does."""
+    held = encoded.sparkSession.sparkContext.broadcast([*pieces(tokenizer), b""])  # the vocabulary file bounds it
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(held.value)(batches), DECODED)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = round_trip(table(spark, sf_dir, "documents"))
     return both.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.bpe import _un, _z
-from headway.llm.common import slices, stage, table, texts
+from headway.llm.common import freed, slices, stage, table, texts
 from headway.llm.suffix_tree import units
 
 BANDS, BAND = 56, 6
@@ -190,7 +190,7 @@ def _linked(docs: DataFrame, words: int, cluster: int) -> tuple[DataFrame, DataF
     # each block meets itself and every other
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     held = held.select("node", "root", "block", "odd", "set", met.alias("m")).select("node", "root", "block", "odd", "set", "m.i", "m.j")
-    return ids, stage(held.groupBy("root", "i", "j").applyInArrow(_links, "a long, b long"))
+    return ids, stage(held.groupBy("root", "i", "j").applyInArrow(freed(_links), "a long, b long"))
 
 
 def classes(docs: DataFrame, words: int = 5, cluster: int = CLUSTER) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from headway.llm import files
 from headway.llm.bpe import _un, _z
-from headway.llm.common import parts, shared_dir, stage, text_bytes
+from headway.llm.common import freed, parts, release, shared_dir, stage, text_bytes
 
 NULL_ID = -(2**63)
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -246,11 +246,14 @@ def _scan(plan: Plan, folder: str, buckets: int):
                 size += len(n)
                 if size >= plan.chunk:
                     yield flush([*held, b.slice(at, k - at)], seq)
+                    release()
                     held, size, seq, at = [], 0, seq + 1, k
             if at < b.num_rows:
                 held.append(b.slice(at))
         if held:
             yield flush(held, seq)
+            held = []
+        release()
 
     return run
 
@@ -337,6 +340,8 @@ def _fetch(plan: Plan, folder: str, buckets: int):
                     u.append(text[x : x + plan.length])
                 # buckets of their own, beside those of the blocks
                 yield batch(sent(own, u, buckets + ((own["c"] >> U(16)) % U(buckets)).astype(np.int64)))
+        del raw, u, b, windows, held
+        release()
 
     return run
 
@@ -377,9 +382,9 @@ def removed(docs: DataFrame, plan: Plan, apply: Callable, schema: str, carried:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(f"in_{c}") for c in carried))
     kinds = {f"in_{c}": t for c, t in ((f.name, f.dataType.simpleString()) for f in docs.schema) if c in carried}
     scanned = stage(rows.mapInArrow(_scan(plan, folder, buckets), ROWS), "none")
-    matched = stage(scanned.where("kind = 'block'").groupBy("key").applyInArrow(_match(plan, buckets), ROWS), "none")
+    matched = stage(scanned.where("kind = 'block'").groupBy("key").applyInArrow(freed(_match(plan, buckets)), ROWS), "none")
     fetched = stage(matched.where("kind in ('ask', 'askhot')").groupBy("key").applyInArrow(_fetch(plan, folder, buckets), ROWS), "none")
-    resolved = fetched.where("kind = 'units'").groupBy("key").applyInArrow(_resolve(plan), ROWS)
+    resolved = fetched.where("kind = 'units'").groupBy("key").applyInArrow(freed(_resolve(plan)), ROWS)
     cuts = reduce(DataFrame.unionByName, [x.where("kind = 'cut'") for x in (scanned, matched, fetched, resolved)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -392,4 +397,4 @@ def removed(docs: DataFrame, plan: Plan, apply: Callable, schema: str, carried:
     out = ", ".join(["doc_id long", *(f"`{c}` {t}" for c, t in kinds.items()), schema])
     # a row stands for a whole chunk file here, so that row sizes must not decide how many tasks there are
     chunks = scanned.where("kind = 'chunk'").select("key").repartition(tasks, "key")
-    return chunks.groupBy("key").cogroup(cuts.repartition(tasks, "key").groupBy("key")).applyInArrow(cut, out)
+    return chunks.groupBy("key").cogroup(cuts.repartition(tasks, "key").groupBy("key")).applyInArrow(freed(cut), out)

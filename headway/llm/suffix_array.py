@@ -17,9 +17,8 @@ Very long texts are taken whole; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import repeats
@@ -152,13 +151,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, carried: list[str] = (), **more
     return repeats.removed(docs, plan(length, **more), _cut, "n_bytes long, n_removed long, n_spans long, kept binary", list(carried))
 
 
-def as_text(kept: str) -> Column:
-    """Kept bytes as text, without the rests of characters that a cut went through."""
+def _cut_text(raw: list[bytes], spans: list[np.ndarray]) -> dict:
+    """The kept bytes as text, without the rests of characters that a cut went through."""
+    made = _cut(raw, spans)
+    return {"n_removed": made["n_removed"], "kept": pa.array([x.decode("utf-8", "ignore") for x in made["kept"].to_pylist()], pa.string())}
 
-    def repaired(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: b.decode("utf-8", "ignore"))
 
-    return F.pandas_udf(repaired, "string")(kept)
+def dedup_text(docs: DataFrame, length: int = LENGTH, carried: list[str] = (), **more) -> DataFrame:
+    """doc_id, n_removed and the text kept, as `dedup` has it in bytes."""
+    return repeats.removed(docs, plan(length, **more), _cut_text, "n_removed long, kept string", list(carried))
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ WORDS = 50
 #: Suffixes of a subtree that is grown at once.
 SUBTREE = 100_000
 #: Words whose hashes a task keeps at once.
-KNOWN = 100_000
+KNOWN = 50_000
 
 
 class Words(dict):

@@ -18,6 +18,7 @@ def test_matches_library(spark):
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(df, chunk_chars=500)).collect()}
     tok = Tokenizer.from_file(bpe.default_tokenizer())
     assert len(got) == len(texts)
+    assert {(r.doc_id, bytes(r.ids), r.text) for r in bpe.round_trip(df, chunk_chars=500).collect()} == {(i, bytes(r.ids), r.text) for i, r in got.items()}
     for i, t in enumerate(texts):
         want = tok.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(got[i].ids, "<u4").tolist() == want, repr(t)
