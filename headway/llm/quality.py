@@ -183,7 +183,7 @@ def _count(given: np.ndarray, learned: np.ndarray, most: int = HELD):
             at = np.flatnonzero(np.diff(keys[order], prepend=-1))
             return keys[order][at], np.add.reduceat(n[order], at), np.bitwise_or.reduceat(bits[order], at)
 
-        for b in slices(batches):
+        for b in slices(batches, size=400_000):
             own = Batch([x.encode() for x in b.column(0).to_pylist()])
             votes = own.votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
             doc, feature = own.features()
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame | None) -> dict:
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches):
+        for b in slices(batches, size=400_000):
             own = Batch([x.encode() for x in b.column(1).to_pylist()])
             doc, feature = own.features()
             votes, s = own.votes(*m["words"]), []

@@ -55,9 +55,9 @@ class Plan:
     length: int
     gram: int
     same_doc: bool  # an earlier start in the same document counts
-    chunk: int = 16_000_000  # bytes of text in a chunk
-    piece: int = 1_000_000  # units hashed at once
-    hot: int = 20_000  # different blocks of a gram that meet in one task
+    chunk: int = 8_000_000  # bytes of text in a chunk
+    piece: int = 500_000  # units hashed at once
+    hot: int = 5_000  # different blocks of a gram that meet in one task
     bucket: int = 32_000_000  # bytes of text whose blocks are in a bucket
 
 
@@ -283,8 +283,8 @@ def _read(plan: Plan, folder: str, chunk: int) -> tuple[pa.Table, list[bytes]]:
     return t, [x or b"" for x in t["text"].cast(pa.large_binary()).to_pylist()]
 
 
-#: Windows of a hot gram that are sent at once.
-WINDOWS = 20_000
+#: Windows of a hot gram that are sent at once, and units of a suffix structure (one gram's at least).
+WINDOWS, STRUCTURE = 20_000, 1_000_000
 
 
 def _fetch(plan: Plan, folder: str, buckets: int):
@@ -355,7 +355,23 @@ def _resolve(plan: Plan):
             n = int.from_bytes(x[:8], "little")
             heads.append(unpacked(x[8 : 8 + n], BLOCK))
             bodies.append(_un(x[8 + n :], plan.units([b"x"])[0].dtype))
-        b, units = np.concatenate(heads), np.concatenate(bodies)
+        b, units, rows = np.concatenate(heads), np.concatenate(bodies), []
+        del heads, bodies
+        size = b["w"].astype(np.int64) + plan.length - 1
+        begin = np.cumsum(size) - size
+        order = np.argsort(b["a"], kind="stable")
+        grams = np.append(np.flatnonzero(np.diff(b["a"][order])) + 1, len(b))
+        total, at = np.cumsum(size[order]), 0
+        while at < len(b):  # whole grams, as many as a structure may have
+            most = np.searchsorted(total, (total[at - 1] if at else 0) + STRUCTURE, side="right")
+            k = np.searchsorted(grams, most, side="right") - 1
+            end = int(grams[k]) if k >= 0 and grams[k] > at else int(grams[np.searchsorted(grams, at, side="right")])
+            own = order[at:end]
+            rows += some(b[own], units[np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(int(size[own].sum()))])
+            at = end
+        return pa.Table.from_batches([batch(rows)])
+
+    def some(b: np.ndarray, units: np.ndarray) -> list[tuple]:
         w = b["w"].astype(np.int64)
         size = w + plan.length - 1
         begin = np.cumsum(size) - size
@@ -369,7 +385,7 @@ def _resolve(plan: Plan):
         g, d = group[order], win["doc"][order]
         new = np.concatenate([[True], g[1:] != g[:-1]])
         gone = ~new if plan.same_doc else d > d[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
-        return pa.Table.from_batches([batch(cut_rows(win[order[gone]], plan.length))])
+        return cut_rows(win[order[gone]], plan.length)
 
     return run
 

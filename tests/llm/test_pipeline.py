@@ -1,7 +1,11 @@
+import hashlib
+
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from headway.llm import decontaminate
+from headway.llm import bpe, decontaminate
 from tests.llm.test_minhash import brute as near_brute
 from tests.llm.test_repeats import brute_bytes
 
@@ -29,7 +33,20 @@ def test_stages(spark, staged):
     assert dict(rows(cut)) == want and all(r.n_chars == len(r.text) for r in cut.collect())
     items = [decontaminate.normal(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     assert {d for d, _ in rows(clean)} == {d for d, t in want.items() if not any(decontaminate.distance(i, decontaminate.normal(t)) <= int(len(i) * 0.05) for i in items)}
-    assert coded.count() == clean.count() > 50
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    ids = {d: tok.encode(t, add_special_tokens=False).ids for d, t in rows(clean)}
+    assert {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens, r.decoded_sha256) for r in coded.collect()} == {d: (x, len(x), hashlib.sha256(tok.decode(x, skip_special_tokens=False).encode()).hexdigest()) for d, x in ids.items()}
+    assert len(ids) > 50
+
+
+def test_quality_stage(spark, staged):
+    """The stage keeps the rows that the classifier keeps, and catches what labels call bad."""
+    first, good, *_ = staged
+    kept, judged = {d for d, _ in rows(good)}, {d for d, _ in rows(first)}
+    labels = [r for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect() if r.doc_id in judged]
+    bad = {r.doc_id for r in labels if r.quality == 0 or r.toxic == 1}
+    assert len(bad - kept) > 0.8 * len(bad)
+    assert len({r.doc_id for r in labels} - bad - kept) < 0.03 * len(labels)
 
 
 def test_edges(spark):
