@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from headway.plans import engine
+from headway.plans import engine, service
 from headway.streaming import fixes as streamed
 
 FLAGSHIP = "a_hierarchy"
-MODULES = (engine, streamed)
+MODULES = (engine, service, streamed)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

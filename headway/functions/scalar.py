@@ -57,3 +57,54 @@ def folded(text: Column) -> Column:
 
 def quantised(x: Column, low: float, high: float, steps: int) -> Column:
     return F.floor((x - low) / (high - low) * steps).cast("int")
+
+
+def to_latlon(x: Column, y: Column) -> tuple[Column, Column]:
+    """Back from metres about the origin."""
+    import math
+
+    return y / DEGREE + LAT0, x / (DEGREE * math.cos(math.radians(LAT0))) + LON0
+
+
+def ground_metres(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres on a plane, with the cosine of the mean latitude."""
+    return F.hypot((lat - lat2) * DEGREE, (lon - lon2) * DEGREE * F.cos(F.radians((lat + lat2) / 2)))
+
+
+def sphere_metres(lat: Column, lon: Column, lat2: Column, lon2: Column, radius: float = 6371000.0) -> Column:
+    h = F.pow(F.sin(F.radians(lat - lat2) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon - lon2) / 2), 2)
+    return F.asin(F.sqrt(h)) * 2 * radius
+
+
+def to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    """The clamped fraction along a segment that is nearest to a point, and the squared distance there."""
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    f = F.when(length == 0, 0.0).otherwise(F.least(F.greatest(((x - ax) * dx + (y - ay) * dy) / length, F.lit(0.0)), F.lit(1.0)))
+    return f, F.pow(x - (ax + f * dx), 2) + F.pow(y - (ay + f * dy), 2)
+
+
+def nearest_day(secs: Column, midnight: Column, now: Column) -> Column:
+    """The instant of yesterday's, today's or tomorrow's service day that is nearest to now."""
+    days = F.array(*(F.struct(F.abs(midnight + secs + k * 86400 - now).alias("gap"), (midnight + secs + k * 86400).alias("at")) for k in (-1, 0, 1)))
+    return F.array_min(days)["at"]
+
+
+def hill(rise: Column, run: Column) -> Column:
+    """How much of the level pace is left on a slope of three tenths at most."""
+    slope = F.least(F.greatest(rise / run, F.lit(-0.3)), F.lit(0.3))
+    return F.exp((F.abs(slope + 0.05) - 0.05) * -3.5)
+
+
+def heading(dx: Column, dy: Column) -> Column:
+    """Whole degrees clockwise from north."""
+    return F.round(F.pmod(F.degrees(F.atan2(dx, dy)) + 360, F.lit(360.0))).cast("long") % 360
+
+
+def poll_wait(period: Column, fails: Column) -> Column:
+    """Twice as long after each failure, two minutes at most."""
+    return F.greatest(F.least(period * F.pow(F.lit(2.0), fails), F.lit(120.0)), F.lit(0.5))
+
+
+def worth_logging(fails: Column) -> Column:
+    return fails.isin(1, 5) | ((fails > 0) & (fails % 50 == 0))

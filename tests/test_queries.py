@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 def oracle():
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.environ.get('QUERY_SF', SF)}/{t}.parquet'")
     return con
 
 
