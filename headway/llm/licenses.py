@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import table, texts
+from headway.llm.common import parts, stage, table, texts
 
 #: Common licence notices.
 TEMPLATES = (
@@ -148,18 +148,24 @@ def _best(win: Column, own: Column) -> Column:
 
 def windows(docs: DataFrame, given=TEMPLATES + FULL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, license, dice of stretches across or inside lines."""
-    made, near, low = [], F.lit(False), F.lower("text")
-    for name, text in given:
-        own = _bigrams(_words(text))
-        sizes = bounds(len(own), threshold)
-        some = F.lit(False)
-        for w in marks(_words(text), threshold):
-            near = near | F.contains(low, F.lit(w))
-            some = some | F.contains("norm", F.lit(f" {w} "))
-        made.append(F.when(some, F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own"), F.lit(sizes[0]).alias("need"), F.lit(sizes[-1]).alias("most"))))
-    # letters of a mark first, then the whole word
-    norm = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" "))
-    asked = texts(docs).where(near).select("doc_id", "text", norm.alias("norm")).select("doc_id", "text", F.filter(F.array(*made), lambda x: x.isNotNull()).alias("asked")).where(F.size("asked") > 0)
+    known = [(name, _bigrams(_words(text)), marks(_words(text), threshold)) for name, text in given]
+    every = {w for *_, own_marks in known for w in own_marks}
+    # letters of a mark first (those of a shorter mark inside it do), then the whole word; each text is normalised once
+    short = sorted(w for w in every if not any(x != w and x in w for x in every))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    any_of = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    near = once(F.lower("text"), lambda low: any_of(low, short))
+
+    def templates_of(norm: Column) -> Column:
+        made = []
+        for name, own, own_marks in known:
+            sizes = bounds(len(own), threshold)
+            made.append(F.when(any_of(norm, [f" {w} " for w in own_marks]), F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own"), F.lit(sizes[0]).alias("need"), F.lit(sizes[-1]).alias("most"))))
+        return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+    norm = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), F.lit(" "))
+    # written apart, so that only the few texts with a mark are normalised
+    asked = stage(texts(docs).where(near)).repartition(parts(docs.sparkSession)).select("doc_id", "text", once(norm, templates_of).alias("asked"))
     split = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     words = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(split(x), lambda w: F.struct(i.alias("line"), w.alias("w")))))
     rows = asked.select("doc_id", "asked", words.alias("words")).where(F.size("words") > 1)
