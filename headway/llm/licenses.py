@@ -3,10 +3,11 @@
 A line is lower-cased, everything but a-z and 0-9 becomes a blank. With n distinct bigrams it can reach
 the threshold t only with templates of n*t/(2-t) to n*(2-t)/t bigrams; a table of template and size makes
 that bound an equi-join, so that lines of other sizes are compared with nothing. DataFrame operations only.
+A text without any mark (words of which a match must have one) can match nothing and is left out before that.
 
 Notices that are wrapped over lines or stand inside longer ones, and full licence texts, are found by windows of
 words that run across lines: of the stretches that hold as many bigrams as the bound allows, the best ones that
-don't overlap. A text without any of a template's marks (words of which a match must have one) has no such window.
+don't overlap. A text without any of a template's own marks has no such window.
 A window that touches a line which matches the template by itself is left to that line.
 
 Returns a row for each line and licence that match: doc_id, line (from 0; a window's first), license, dice. Null and empty
@@ -84,6 +85,15 @@ def _bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def _strings(values: list[str]) -> Column:
+    """An array of strings without line ends as one literal, which Spark folds; a literal for each made plans of thousands of nodes."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")
+
+
 def bounds(n: int, t: float) -> range:
     """Sizes that a line may have to reach t with a template of n bigrams."""
     return range(math.ceil(n * t / (2 - t) - 1e-9), math.floor(n * (2 - t) / t + 1e-9) + 1)
@@ -92,7 +102,7 @@ def bounds(n: int, t: float) -> range:
 def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """n, license, own: each template under every size that it allows; bounded by the templates given."""
     rows = [(n, name, own) for name, text in given for own in [_bigrams(_words(text))] for n in bounds(len(own), threshold)]
-    made = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own")) for n, name, own in rows))
+    made = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(name).alias("license"), _strings(own).alias("own")) for n, name, own in rows))
     return spark.range(1).select(F.inline(made))
 
 
@@ -100,7 +110,15 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def candidates(docs: DataFrame, given=TEMPLATES + FULL, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text of the rows that have a mark of any template, dealt anew, as few texts have one."""
+    every = sorted({w for _, text in given for w in marks(_words(text), threshold)})
+    found = texts(docs).where(F.arrays_overlap(_tokens(F.col("text")), _strings(every)))
+    return stage(found).repartition(parts(docs.sparkSession))
+
+
 def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, line, license, dice of lines that match by themselves."""
     most = max(bounds(len(_bigrams(_words(t))), threshold)[-1] for _, t in given)
     lines = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     norm = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
@@ -149,28 +167,22 @@ def _best(win: Column, own: Column) -> Column:
 def windows(docs: DataFrame, given=TEMPLATES + FULL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, license, dice of stretches across or inside lines."""
     known = [(name, _bigrams(_words(text)), marks(_words(text), threshold)) for name, text in given]
-    every = {w for *_, own_marks in known for w in own_marks}
-    # letters of a mark first (those of a shorter mark inside it do), then the whole word; each text is normalised once
-    short = sorted(w for w in every if not any(x != w and x in w for x in every))
-    once = lambda x, f: F.transform(F.array(x), f)[0]
-    any_of = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
-    near = once(F.lower("text"), lambda low: any_of(low, short))
-
-    def templates_of(norm: Column) -> Column:
+
+    def templates_of(words: Column) -> Column:
         made = []
         for name, own, own_marks in known:
             sizes = bounds(len(own), threshold)
-            made.append(F.when(any_of(norm, [f" {w} " for w in own_marks]), F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own"), F.lit(sizes[0]).alias("need"), F.lit(sizes[-1]).alias("most"))))
+            made.append(F.when(F.arrays_overlap(words, _strings(own_marks)), F.struct(F.lit(name).alias("license"), _strings(own).alias("own"), F.lit(sizes[0]).alias("need"), F.lit(sizes[-1]).alias("most"))))
         return F.filter(F.array(*made), lambda x: x.isNotNull())
 
-    norm = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), F.lit(" "))
-    # written apart, so that only the few texts with a mark are normalised
-    asked = stage(texts(docs).where(near)).repartition(parts(docs.sparkSession)).select("doc_id", "text", once(norm, templates_of).alias("asked"))
-    split = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    # one token array for all templates
+    asked = texts(docs).select("doc_id", "text", F.transform(F.array(_tokens(F.col("text"))), templates_of)[0].alias("asked"))
+    split = lambda x: F.filter(_tokens(x), lambda w: w != "")
     words = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(split(x), lambda w: F.struct(i.alias("line"), w.alias("w")))))
     rows = asked.select("doc_id", "asked", words.alias("words")).where(F.size("words") > 1)
     pairs = F.zip_with(F.slice("words.w", F.lit(1), F.size("words") - 1), F.slice("words.w", F.lit(2), F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    rows = rows.select("doc_id", "words", pairs.alias("b"), F.explode("asked").alias("t")).select("doc_id", "words", "b", "t.*")
+    # below the explode, or Spark would write the pairs into each later expression that reads them
+    rows = rows.select("doc_id", "asked", "words", pairs.alias("b")).select("doc_id", "words", "b", F.explode("asked").alias("t")).select("doc_id", "words", "b", "t.*")
     rows = rows.where(F.size(F.array_intersect("b", "own")) >= F.col("need"))
     hits = F.filter(F.transform("b", lambda x, i: F.when(F.array_contains("own", x), i + 1)), lambda x: x.isNotNull())
     rows = rows.withColumn("hits", hits)
@@ -189,7 +201,7 @@ def windows(docs: DataFrame, given=TEMPLATES + FULL, threshold: float = THRESHOL
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = candidates(table(spark, sf_dir, "documents"))
     return scan(docs).unionByName(windows(docs)).groupBy("doc_id", "line", "license").agg(F.max("dice").alias("dice"))
 
 
