@@ -2,9 +2,12 @@
 
 Each page is a record: a response with its payload, or a revisit that refers to the response with the
 same payload. Archives are files of gzip members, a member for each record. The index sorts captures by
-their reversed-host URL key into gzip blocks; a sparse directory has the first and last key of each block
-with its place. A look-up searches the directory, reads one block by its range, searches it, and reads
-the records by their ranges.
+their reversed-host URL key into gzip blocks; a sparse directory, at the end of each index file, has the
+first and last key of each block with its place. A look-up finds the index files by their first and last
+keys (a row for each partition, whatever the data), searches their directories, reads the blocks by their
+ranges, searches these, and reads the records by their ranges. `search` does so for a table of keys: keys
+are dealt by file and order, blocks and archives each to one task, so that each is opened once. A key that
+many captures share is asked for once, and its blocks are dealt to as many tasks.
 
 A null page is empty and a null url stands under its page_id. Of equal payloads the largest page_id is
 the response (rows that share it are all responses); payloads of fewer than `least` bytes are all
@@ -28,16 +31,25 @@ ARCHIVE_BYTES = 64_000_000
 BLOCK_LINES = 2000
 _CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
 CAPTURES = "key string, page_id long, uri string, at long, size long"
-DIRECTORY = "first_key string, last_key string, uri string, at long, size long, n long"
+PLACES = "key string, uri string, at long, size long"
+DIRECTORY = "first_key string, last_key string, uri string, at long, size long, n long, dir_at long, dir_size long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def target(page_id: int | None, url: str | None) -> str:
+    """The URL that a record stands under; blanks and control characters would end a header line."""
+    import re
+
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
+
+
 def url_key(url: str) -> str:
     """com,example,www)/path?query: the host reversed, without scheme, user, port or fragment."""
     from urllib.parse import urlsplit
 
+    url = target(None, url)
     try:
-        u = urlsplit(url.strip())
+        u = urlsplit(url)
         host = (u.hostname or "").rstrip(".")
     except ValueError:
         return url
@@ -87,7 +99,6 @@ def parsed(raw: bytes) -> dict:
 def _write(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
-        import re
 
         from pyspark import TaskContext
 
@@ -102,7 +113,7 @@ def _write(folder: str, archive_bytes: int):
             for k in range(0, b.num_rows, 256):
                 for page, url, html, response in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)):
                     payload = html.encode("utf-8")
-                    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page}"
+                    url = target(page, url)
                     member = gzip.compress(record(page, url, payload, response, response is not None), 6, mtime=0)
                     rows.append((url_key(url), page, size, len(member)))
                     body.append(member)
@@ -149,16 +160,18 @@ def _blocks(folder: str, lines: int):
                     close()
         if held:
             close()
+        last = gzip.compress(json.dumps([[r[0], r[1], r[3], r[4]] for r in rows], ensure_ascii=False).encode(), 6, mtime=0)
         if rows:
-            files.write(folder, name, b"".join(body))
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["first_key", "last_key", "uri", "at", "size", "n"])
+            files.write(folder, name, b"".join([*body, last]))
+        rows = [(*r, at, len(last)) for r in rows]
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["first_key", "last_key", "uri", "at", "size", "n", "dir_at", "dir_size"])
 
     return run
 
 
 def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
-    """Writes the sorted blocks of captures; returns the directory, a row for each block."""
+    """Writes the sorted blocks of captures, each file with its directory; returns the directories' rows, one for each block."""
     n = parts(captures.sparkSession)
     ordered = captures.select("key", "page_id", "uri", "at", "size").repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "uri", "at")
     return stage(ordered.mapInArrow(_blocks(folder, lines), DIRECTORY))
@@ -170,53 +183,115 @@ def captures_of(uri: str, at: int, size: int) -> list[list]:
     return [json.loads(x) for x in gzip.decompress(files.read(uri, at, size)).decode().split("\n")]
 
 
-def lookup(directory: DataFrame, url: str) -> list[dict]:
-    """The records of a URL: the directory's blocks whose keys span it, binary search there, range reads."""
-    import gzip
+def _spans(first: list[str], last: list[str], key: str) -> range:
+    """Which of the sorted stretches may hold the key: a key with many captures spans several."""
     from bisect import bisect_left, bisect_right
 
-    key, out = url_key(url), []
-    for r in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "uri", "at").collect():
-        lines = captures_of(r.uri, r.at, r.size)
-        keys = [x[0] for x in lines]
-        for _, _, uri, at, size in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-            out.append(parsed(gzip.decompress(files.read(uri, at, size))))
-    return out
+    return range(bisect_left(last, key), bisect_right(first, key))
 
 
-def read_all(directory: DataFrame) -> DataFrame:
-    """Every record, found through the index: blocks give captures, which go by archive and place and are read by range."""
+def _placed(index_files: list[tuple]):
+    """The index files that may hold each key, with their directories' places."""
+    first, last = [f[0] for f in index_files], [f[1] for f in index_files]
 
-    def unblocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, at, size in zip(*(b.column(c).to_pylist() for c in ("uri", "at", "size"))):
-                cols = list(zip(*captures_of(uri, at, size)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CAPTURE)], schema=_CAPTURE)
+            rows = [(key, *index_files[k][2:]) for key in b.column(0).to_pylist() for k in _spans(first, last, key)]
+            yield _places(rows)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
+    return run
+
+
+def _places(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["key", "uri", "at", "size"])
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks that may hold each key, by binary search in its file's directory; keys come by file."""
+    import gzip
+
+    now, held, first, last = None, [], [], []
+    for b in batches:
+        rows = []
+        for key, uri, at, size in zip(*(c.to_pylist() for c in b.columns)):
+            if uri != now:
+                now, held = uri, json.loads(gzip.decompress(files.read(uri, at, size)))
+                first, last = [x[0] for x in held], [x[1] for x in held]
+            rows += [(key, uri, *held[k][2:]) for k in _spans(first, last, key)]
+        yield _places(rows)
+
+
+def _captures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The captures of each key, by binary search in its block; keys come by block."""
+    from bisect import bisect_left, bisect_right
+
+    now, lines, keys = None, [], []
+    for b in batches:
+        rows = []
+        for key, uri, at, size in zip(*(c.to_pylist() for c in b.columns)):
+            if (uri, at) != now:
+                now, lines = (uri, at), captures_of(uri, at, size)
+                keys = [x[0] for x in lines]
+            rows += lines[bisect_left(keys, key) : bisect_right(keys, key)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CAPTURE)], schema=_CAPTURE)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of captures, by range; captures come by archive."""
+    import gzip
+
+    opened, now = None, None
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+    for b in batches:
+        for k in range(0, b.num_rows, 500):
+            out = []
+            for uri, at, size in zip(*(b.slice(k, 500).column(c).to_pylist() for c in ("uri", "at", "size"))):
+                if uri != now:
+                    opened, now = files.opened(uri), uri
+                opened.seek(at)
+                out.append(parsed(gzip.decompress(opened.read(size))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, types)], list(names))
+
+
+def keys_of(pages: DataFrame) -> DataFrame:
+    """key: the different keys that the pages stand under."""
 
-        opened, now = None, None
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                out = []
-                for uri, at, size in zip(*(b.slice(k, 500).column(c).to_pylist() for c in ("uri", "at", "size"))):
-                    if uri != now:
-                        opened, now = files.opened(uri), uri
-                    opened.seek(at)
-                    out.append(parsed(gzip.decompress(opened.read(size))))
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(target(p, u)) for p, u in zip(*(c.to_pylist() for c in b.columns))], pa.string())], ["key"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(run, "key string").distinct()
 
+
+def search(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, page_id, uri, at, size of all captures of the keys; a key may be asked for once only."""
     n = parts(directory.sparkSession)
-    captures = directory.select("uri", "at", "size").repartition(n, "uri", "at").mapInArrow(unblocked, CAPTURES)
-    return captures.repartition(n, "uri").sortWithinPartitions("uri", "at").mapInArrow(records, RECORDS)
+    ends = directory.groupBy("uri", "dir_at", "dir_size").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+    # an index file for each partition that wrote one
+    index_files = sorted((r["first"], r["last"], r.uri, r.dir_at, r.dir_size) for r in ends.collect())
+    placed = keys.mapInArrow(_placed(index_files), PLACES).repartitionByRange(n, "uri", "key").sortWithinPartitions("uri", "key")
+    found = placed.mapInArrow(_blocks_of, PLACES).repartition(n, "uri", "at").sortWithinPartitions("uri", "at", "key")
+    return found.mapInArrow(_captures_of, CAPTURES)
+
+
+def read(captures: DataFrame) -> DataFrame:
+    """The records of captures."""
+    return captures.repartition(parts(captures.sparkSession), "uri").sortWithinPartitions("uri", "at").mapInArrow(_records, RECORDS)
+
+
+def lookup(directory: DataFrame, url: str) -> list[dict]:
+    """The records of one URL."""
+    key = directory.sparkSession.range(1).select(F.lit(url_key(url)).alias("key"))
+    return [r.asDict() for r in read(search(directory, key)).collect()]
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    captures = write_archives(table(spark, sf_dir, "pages"), f"{folder}/archives")
-    return read_all(write_index(captures, f"{folder}/index")).drop("payload")
+    pages = table(spark, sf_dir, "pages")
+    directory = write_index(write_archives(pages, f"{folder}/archives"), f"{folder}/index")
+    return read(search(directory, keys_of(pages))).drop("payload")
 
 
 QUERIES = {"op6_warc": op6_warc}

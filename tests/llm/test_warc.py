@@ -23,10 +23,11 @@ def test_edges(spark, tmp_path):
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, size int").repartition(2)
     folder = f"file://{tmp_path}"
     directory = warc.write_index(warc.write_archives(df, f"{folder}/a", archive_bytes=200), f"{folder}/i", lines=2)
-    got = warc.read_all(directory).collect()
+    got = warc.read(warc.search(directory, warc.keys_of(df))).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == expected([(p, h or "") for p, _, h in rows])
     assert {r.page_id: r.payload.decode() for r in got if r.record_type == "response"} == {9: "same", 5: "", 6: "é" * 50000, 7: "z"}
     assert sorted(r["page_id"] for r in warc.lookup(directory, "http://a.example.com/p?q")) == [4, 5]
+    assert [r["page_id"] for r in warc.lookup(directory, "http://b.example.com/x y\n")] == [1]
     assert [r["page_id"] for r in warc.lookup(directory, "urn:page:9")] == [9] and warc.lookup(directory, "http://no.example.com/") == []
     # as WARC says: gzip members, one for each record
     import gzip
@@ -34,7 +35,18 @@ def test_edges(spark, tmp_path):
 
     raw = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/a/*.gz"))
     assert raw.count(b"WARC/1.1\r\n") == 7
-    small = warc.read_all(warc.write_index(warc.write_archives(df, f"{folder}/b", least=5), f"{folder}/j")).collect()
+    small = warc.read(warc.search(warc.write_index(warc.write_archives(df, f"{folder}/b", least=5), f"{folder}/j"), warc.keys_of(df))).collect()
     assert sorted((tuple(r)[:5] for r in small), key=str) == expected([(p, h or "") for p, _, h in rows], 5)
     none = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_all(warc.write_index(warc.write_archives(none, f"{folder}/c"), f"{folder}/k")).count() == 0
+    assert warc.read(warc.search(warc.write_index(warc.write_archives(none, f"{folder}/c"), f"{folder}/k"), warc.keys_of(df))).count() == 0
+
+
+def test_shared_key(spark, tmp_path):
+    """A key of many captures spans blocks and index files; all are found, and those beside it by their own keys only."""
+    df = spark.createDataFrame([(k, "http://a.example/" + ("hot" if 20 <= k < 80 else f"{k:03d}"), f"page {k}") for k in range(100)], "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}"
+    directory = warc.write_index(warc.write_archives(df, f"{folder}/a"), f"{folder}/i", lines=7)
+    assert directory.where("first_key <= 'example,a)/hot' AND last_key >= 'example,a)/hot'").select("uri").distinct().count() > 1
+    assert sorted(r.page_id for r in warc.search(directory, warc.keys_of(df)).collect()) == list(range(100))
+    assert sorted(r["page_id"] for r in warc.lookup(directory, "http://a.example/hot")) == list(range(20, 80))
+    assert [r["page_id"] for r in warc.lookup(directory, "http://a.example/007")] == [7]
