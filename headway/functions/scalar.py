@@ -46,8 +46,8 @@ def flags(*bits: Column) -> Column:
 
 
 def natural(short: Column) -> tuple[Column, Column]:
-    """Sort key of a route name: its digits as a number, then the text."""
-    return F.expr("1") * F.nullif(F.regexp_replace(short, "[^0-9]", ""), F.lit("")).cast("long"), short
+    """Sort key of a route name: its digits as a number (0 without any), then the text."""
+    return F.coalesce(F.nullif(F.regexp_replace(short, "[^0-9]", ""), F.lit("")).cast("long"), F.lit(0).cast("long")), short
 
 
 def folded(text: Column) -> Column:

@@ -72,7 +72,10 @@ def changed(before: DataFrame, now: DataFrame, key: str, values: list[str]) -> D
 
 
 def runs_on(trips: DataFrame, calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Trips whose service runs on their day: an exception decides, else weekday and window."""
-    x = trips.join(calendar, "service", "left").join(exceptions, ["service", "day"], "left")
+    """Trips whose service runs on their day: an exception decides, else weekday and window. A service without a calendar
+    row doesn't run; where there are neither calendars nor exceptions at all, every service does."""
+    some = calendar.select(F.lit(1).alias("k")).limit(1).unionByName(exceptions.select(F.lit(1).alias("k")).limit(1))
+    free = some.agg((F.count(F.lit(1)) == 0).alias("free"))  # one row
+    x = trips.join(calendar, "service", "left").join(exceptions, ["service", "day"], "left").crossJoin(F.broadcast(free))
     usual = F.array_contains("weekdays", F.weekday("day")) & F.col("day").between(F.col("start"), F.col("end"))
-    return x.where(F.coalesce(F.col("added"), usual, F.lit(True)))
+    return x.where(F.coalesce(F.col("added"), usual, F.col("free"))).drop("free")

@@ -37,7 +37,7 @@ def p_service_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, s, CASE WHEN starts_with(s, 'Тр') THEN 'trolleybus' WHEN starts_with(s, 'Т') THEN 'tram' ELSE 'bus' END AS kind,
- CAST(nullif(regexp_replace(s, '[^0-9]', '', 'g'), '') AS BIGINT) AS number FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Тр' WHEN 1 THEN 'Т' ELSE 'А' END || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey % 60 AS VARCHAR) END AS s FROM customer)""")
+ coalesce(CAST(nullif(regexp_replace(s, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS number FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Тр' WHEN 1 THEN 'Т' ELSE 'А' END || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey % 60 AS VARCHAR) END AS s FROM customer)""")
 def p_vehicle_type(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
     s = F.concat(F.when(c % 3 == 0, "Тр").when(c % 3 == 1, "Т").otherwise("А"), F.when(c % 7 == 0, "").otherwise((c % 60).cast("string")))
@@ -57,15 +57,15 @@ def f_flags(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("fix", S.flags(F.col("speed") < 0.5, F.col("poll_ts") - F.col("veh_ts") > 120, F.col("kind") == "error").alias("flags"))
 
 
-_CALENDAR = "(SELECT DISTINCT service, DATE '1993-01-01' AS start, DATE '1997-06-30' AS \"end\" FROM trips)"
+_CALENDAR = "(SELECT DISTINCT service, DATE '1993-01-01' AS start, DATE '1997-06-30' AS \"end\" FROM trips WHERE service NOT LIKE '5%')"
 
 
 @query(sql("trips") + f""", x AS (SELECT DISTINCT service, day, trip % 2 = 0 AS added FROM (SELECT service, day, min(trip) AS trip FROM trips WHERE trip % 11 = 0 GROUP BY 1, 2))
  SELECT t.trip, t.service, t.day FROM trips t LEFT JOIN {_CALENDAR} c ON c.service = t.service LEFT JOIN x ON x.service = t.service AND x.day = t.day
- WHERE coalesce(x.added, isodow(t.day) <= 5 AND t.day BETWEEN c.start AND c."end", true)""")
+ WHERE coalesce(x.added, isodow(t.day) <= 5 AND t.day BETWEEN c.start AND c."end", false)""")
 def f_service_runs(spark: SparkSession, sf: str) -> DataFrame:
     t = relation(spark, sf, "trips")
-    cal = t.select("service").distinct().select("service", F.lit("1993-01-01").cast("date").alias("start"), F.lit("1997-06-30").cast("date").alias("end"), F.array(*map(F.lit, range(5))).alias("weekdays"))
+    cal = t.where("service NOT LIKE '5%'").select("service").distinct().select("service", F.lit("1993-01-01").cast("date").alias("start"), F.lit("1997-06-30").cast("date").alias("end"), F.array(*map(F.lit, range(5))).alias("weekdays"))
     x = t.where("trip % 11 = 0").groupBy("service", "day").agg((F.min("trip") % 2 == 0).alias("added"))
     return R.runs_on(t, cal, x).select("trip", "service", "day")
 
@@ -176,12 +176,12 @@ def a_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("trips") + """, r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY dep DESC, trip DESC) AS k FROM trips)
- SELECT route, round(avg(CASE WHEN trip % 3 = 0 THEN 1.0 ELSE 0.0 END), 9) AS waited, count(*) AS n, count(*) >= 10 AND avg(CASE WHEN trip % 3 = 0 THEN 1.0 ELSE 0.0 END) >= 0.3 AS waits FROM r WHERE k <= 50 GROUP BY 1""")
+ SELECT route, round(avg(CASE WHEN trip % 3 = 0 THEN 1.0 ELSE 0.0 END), 9) AS waited, count(*) AS n, count(*) < 10 OR avg(CASE WHEN trip % 3 = 0 THEN 1.0 ELSE 0.0 END) >= 0.3 AS waits FROM r WHERE k <= 50 GROUP BY 1""")
 def a_habit(spark: SparkSession, sf: str) -> DataFrame:
-    """Share that waited among the newest fifty turnarounds of each route."""
+    """Share that waited among the newest fifty turnarounds of each route; under ten, the timetable is taken to be kept."""
     r = R.newest(relation(spark, sf, "trips"), "route", ["dep", "trip"], 50)
     share = F.avg(F.when(F.col("trip") % 3 == 0, 1.0).otherwise(0.0))
-    return r.groupBy("route").agg(F.round(share, 9).alias("waited"), F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) >= 10) & (share >= 0.3)).alias("waits"))
+    return r.groupBy("route").agg(F.round(share, 9).alias("waited"), F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) < 10) | (share >= 0.3)).alias("waits"))
 
 
 @query("""WITH p AS (SELECT l_suppkey % 40 AS pattern, l_partkey % 12 AS stop, count(DISTINCT (l_orderkey, CAST(l_shipdate AS DATE))) AS n FROM lineitem GROUP BY 1, 2),

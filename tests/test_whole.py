@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway import catalog
+from headway.operators import relational as R
 from headway.streaming import fixes as streamed
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,14 @@ def test_next_departure_at_all_stops(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.stop for r in catalog.QUERIES["j_next_departure_all"](spark, sf).collect()}
     assert got == {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+
+
+def test_services_without_a_calendar_row(spark):
+    """They run by exceptions only, unless there are neither calendars nor exceptions at all."""
+    trips = spark.sql("SELECT * FROM VALUES (1, 'known', DATE '2024-01-01'), (2, 'unknown', DATE '2024-01-01'), (3, 'added', DATE '2024-01-01'), (4, 'known', DATE '2024-01-06') AS t(trip, service, day)")
+    calendar = spark.sql("SELECT 'known' AS service, DATE '2023-01-01' AS start, DATE '2024-12-31' AS `end`, array(0, 1, 2, 3, 4) AS weekdays")
+    exceptions = spark.sql("SELECT 'added' AS service, DATE '2024-01-01' AS day, true AS added")
+    run = lambda c, x: sorted(r.trip for r in R.runs_on(trips, c, x).collect())
+    assert run(calendar, exceptions) == [1, 3]
+    assert run(calendar.limit(0), exceptions) == [3]
+    assert run(calendar.limit(0), exceptions.limit(0)) == [1, 2, 3, 4]
