@@ -50,15 +50,6 @@ def natural(short: Column) -> tuple[Column, Column]:
     return F.coalesce(F.nullif(F.regexp_replace(short, "[^0-9]", ""), F.lit("")).cast("long"), F.lit(0).cast("long")), short
 
 
-def folded(text: Column) -> Column:
-    """Lower case without the accents that place names use."""
-    return F.translate(F.lower(text), "àáâäçèéêëìíîïñòóôöùúûüł", "aaaaceeeeiiiinoooouuuul")
-
-
-def quantised(x: Column, low: float, high: float, steps: int) -> Column:
-    return F.floor((x - low) / (high - low) * steps).cast("int")
-
-
 def to_latlon(x: Column, y: Column) -> tuple[Column, Column]:
     """Back from metres about the origin."""
     import math

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headway.operators import folds
 from headway.sources import stages
 from headway.sources.tables import relation
 
@@ -21,26 +21,7 @@ def epochs(stream: DataFrame, seconds: int = 60, late: str = "10 minutes") -> Da
 
 def tracked(fixes: DataFrame) -> DataFrame:
     """fix, veh, s, v: a Kalman filter of distance and speed along each vehicle's run, in order of time; runs end after STALE seconds."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for fix, t, d, speed in p.sort_values(["veh_ts", "fix"])[["fix", "veh_ts", "dist", "speed"]].itertuples(index=False):
-            if last is None or t - last > STALE:
-                s, v, a, b, c = float(d), float(speed), SNAP, 0.0, SPEED
-            else:
-                gap = t - last
-                s, a, b, c = s + v * gap, a + 2 * gap * b + gap * gap * c + (0.5 * ACCEL * gap * gap) ** 2, b + gap * c, c + (ACCEL * gap) ** 2
-                x, y, z = a + SNAP, b, c + SPEED
-                det = x * z - y * y
-                k11, k12, k21, k22 = (a * z - b * y) / det, (b * x - a * y) / det, (b * z - c * y) / det, (c * x - b * y) / det
-                ds, dv = d - s, speed - v
-                s, v = s + k11 * ds + k12 * dv, max(0.0, v + k21 * ds + k22 * dv)
-                a, b, c = (1 - k11) * a - k12 * b, (1 - k11) * b - k12 * c, -k21 * b + (1 - k22) * c
-            last = t
-            out.append((fix, s, v))
-        return pd.DataFrame({"fix": [o[0] for o in out], "veh": p["veh"].iloc[0], "s": [o[1] for o in out], "v": [o[2] for o in out]})
-
-    return fixes.groupBy("veh").applyInPandas(fold, "fix long, veh long, s double, v double")
+    return folds.tracked(fixes, SNAP, SPEED, ACCEL, STALE)
 
 
 def r_stream_epochs(spark: SparkSession, sf: str) -> DataFrame:
