@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from headway.plans import city, engine, service
+from headway.plans import city, engine, lines, service
 from headway.streaming import fixes as streamed
 
 FLAGSHIP = "a_hierarchy"
-MODULES = (engine, service, city, streamed)
+MODULES = (engine, service, city, lines, streamed)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
