@@ -124,7 +124,8 @@ def judged(pages: DataFrame, rules: DataFrame, fixed=RULES) -> DataFrame:
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("fit", listed(F.col("host"), F.col("path"), fixed))
     rows = rows.withColumn("key", F.when(F.col("fit").isNull(), F.concat_ws("\x01", tokens(F.col("url")))))
     sets = rows.where("key <> ''").groupBy("key").agg(F.lit(1).alias("one")).select("key", F.split("key", "\x01").alias("tokens"))
-    out = rows.join(matched(sets, rules), "key", "left")
+    # pages that a listed rule decides are not dealt out: their key would be one
+    out = rows.where("key IS NOT NULL").join(matched(sets, rules), "key", "left").unionByName(rows.where("key IS NULL").withColumn("mined", F.lit(None).cast("array<string>")))
     verdict = F.coalesce("fit.verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), "mined", verdict.alias("verdict"))
 
