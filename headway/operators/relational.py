@@ -79,3 +79,16 @@ def runs_on(trips: DataFrame, calendar: DataFrame, exceptions: DataFrame) -> Dat
     x = trips.join(calendar, "service", "left").join(exceptions, ["service", "day"], "left").crossJoin(F.broadcast(free))
     usual = F.array_contains("weekdays", F.weekday("day")) & F.col("day").between(F.col("start"), F.col("end"))
     return x.where(F.coalesce(F.col("added"), usual, F.col("free"))).drop("free")
+
+
+def skipped(listed: DataFrame, served: DataFrame, share: float = 0.1, least: int = 30) -> DataFrame:
+    """pattern, stop, n, usual, share of the stops of a pattern (listed: pattern, i, stop) that were served (pattern, stop, trip, day) on
+    fewer than a share of the trip days of its median stop, if that has enough. Stops that no trip served count 0; the
+    ends are left out, as no call is seen there; worst first within `share`, then the busiest pattern."""
+    ends = Window.partitionBy("pattern")
+    inner = listed.withColumns({"a": F.min("i").over(ends), "z": F.max("i").over(ends)}).where("i > a AND i < z").select("pattern", "stop").distinct()
+    days = served.select("pattern", "stop", "trip", "day").distinct().groupBy("pattern", "stop").agg(F.count(F.lit(1)).alias("n"))
+    rows = inner.join(days, ["pattern", "stop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    usual = rows.groupBy("pattern").agg(F.median("n").alias("usual"))
+    out = rows.join(usual, "pattern").where((F.col("usual") >= least) & (F.col("n") < share * F.col("usual")))
+    return out.select("pattern", "stop", "n", "usual", (F.col("n") / F.col("usual")).alias("share"))

@@ -146,30 +146,6 @@ def s_deadband(spark: SparkSession, sf: str) -> DataFrame:
     return folds.deadband(f, ["veh", "day"], ["veh_ts", "fix"], "kind", "t", 5).select("fix", "veh", "kind", "t")
 
 
-@query(sql("times", "trips") + f""", {_CALLS}, legs AS (SELECT trip, d, t, lead(d) OVER w - d AS dd, lead(t) OVER w - t AS dt, lead(d) OVER w AS d1, min(t) OVER (PARTITION BY trip) // 3600 % 24 AS slot FROM calls WINDOW w AS (PARTITION BY trip ORDER BY i)),
- even AS (SELECT trip FROM legs WHERE dt IS NOT NULL GROUP BY trip HAVING max(dt) - min(dt) > 1 AND count(*) >= 2),
- cells AS (SELECT trip % 40 AS shape, slot, unnest(range(CAST(least(d // {CELL}, {CELLS - 1}) AS BIGINT), CAST(least(d1 // {CELL}, {CELLS - 1}) AS BIGINT) + 1)) AS cell, dt * 1.0e0 / dd AS pace FROM legs JOIN even USING (trip) WHERE dd > 20 AND dt > 5),
- hourly AS (SELECT shape, cell, slot, avg(pace) AS pace FROM cells GROUP BY 1, 2, 3), daily AS (SELECT shape, cell, avg(pace) AS pace FROM cells GROUP BY 1, 2),
- every AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS shape), (SELECT unnest(range(0, {CELLS})) AS cell), (SELECT unnest(range(0, 24)) AS slot))
- SELECT e.shape, e.cell, e.slot, round(least(greatest(coalesce(h.pace, y.pace, 1 / 7.0e0), 0.02), 2.0), 9) AS pace FROM every e LEFT JOIN hourly h ON h.shape = e.shape AND h.cell = e.cell AND h.slot = e.slot LEFT JOIN daily y ON y.shape = e.shape AND y.cell = e.cell""")
-def a_prior(spark: SparkSession, sf: str) -> DataFrame:
-    """The timetable's pace of every cell and hour: the hour's mean, else the day's, else a fixed one."""
-    w = Window.partitionBy("trip").orderBy("i")
-    legs = calls(spark, sf).select("trip", "d", F.lead("d").over(w).alias("d1"), (F.lead("t").over(w) - F.col("t")).alias("dt"), (F.floor(F.min("t").over(Window.partitionBy("trip")) / 3600) % 24).alias("slot"))
-    of = Window.partitionBy("trip")
-    legs = legs.where("dt IS NOT NULL").withColumn("spread", F.max("dt").over(of) - F.min("dt").over(of)).withColumn("n", F.count(F.lit(1)).over(of))
-    legs = legs.where("spread > 1 AND n >= 2 AND dt > 5 AND d1 - d > 20")
-    at = lambda d: F.least(F.floor(F.col(d) / CELL), F.lit(CELLS - 1))
-    cells = legs.select((F.col("trip") % 40).alias("shape"), "slot", F.explode(F.sequence(at("d"), at("d1"))).alias("cell"), (F.col("dt") / (F.col("d1") - F.col("d"))).alias("pace"))
-    # sums of each hour carry both means, so that legs are shuffled once
-    hourly = cells.groupBy("shape", "cell", "slot").agg(F.sum("pace").alias("s"), F.count(F.lit(1)).alias("n"))
-    arrays = hourly.groupBy("shape", "cell").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("s") / F.col("n")))).alias("at"), (F.sum("s") / F.sum("n")).alias("day"))
-    every = spark.range(40).select(F.col("id").alias("shape"), F.explode(F.expr(f"sequence(0L, {CELLS - 1}L)")).alias("cell"))
-    rows = every.join(arrays, ["shape", "cell"], "left").withColumn("slot", F.explode(F.expr("sequence(0L, 23L)")))
-    pace = F.coalesce(F.try_element_at("at", F.col("slot")), F.col("day"), F.lit(PACE))
-    return rows.select("shape", "cell", "slot", F.round(F.least(F.greatest(pace, F.lit(PACES[0])), F.lit(PACES[1])), 9).alias("pace"))
-
-
 @query(sql("fixes") + f""", o AS (SELECT trip, least(dist // {CELL}, {CELLS - 1}) AS cell, avg(least(greatest(ratio, 0.15), 8.0)) AS ratio, avg(least(greatest(weight * 200, 0.0), 240.0)) AS hold FROM fixes GROUP BY 1, 2),
  c AS (SELECT t.trip, k.cell, coalesce(ratio, 1.0) * {CELL} / 7.0e0 + coalesce(hold, 0.0) AS secs FROM (SELECT DISTINCT trip FROM fixes) t CROSS JOIN (SELECT unnest(range(0, {CELLS})) AS cell) k LEFT JOIN o ON o.trip = t.trip AND o.cell = k.cell),
  u AS (SELECT *, coalesce(sum(secs) OVER (PARTITION BY trip ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
@@ -251,11 +227,11 @@ def j_recelled(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", F.col("i").cast("long").alias("i"), F.floor((F.col("i") + 0.5) * F.col("p_size") / F.col("new")).alias("was"))
 
 
-_LEGS = "legs AS (SELECT trip, i, t AS dep, t + d % 97 AS arr, i % 3 > 0 AS ride, stop % 4 AS sure, d % 5 AS backups FROM calls)"
+_LEGS = "legs AS (SELECT trip, i, t AS dep, t + d % 97 AS arr, i % 3 > 0 AS ride, stop % 4 AS sure, d % 5 AS backups, count(*) FILTER (i % 3 > 0) OVER (PARTITION BY trip ORDER BY i) AS rides FROM calls)"
 
 
 def _legs(spark: SparkSession, sf: str) -> DataFrame:
-    return calls(spark, sf).select("trip", "i", F.col("t").alias("dep"), (F.col("t") + F.col("d") % 97).alias("arr"), (F.col("i") % 3 > 0).alias("ride"), (F.col("stop") % 4).alias("sure"), (F.col("d") % 5).alias("backups"))
+    return calls(spark, sf).select("trip", "i", F.col("t").alias("dep"), (F.col("t") + F.col("d") % 97).alias("arr"), (F.col("i") % 3 > 0).alias("ride"), (F.col("stop") % 4).alias("sure"), (F.col("d") % 5).alias("backups"), F.count_if(F.col("i") % 3 > 0).over(Window.partitionBy("trip").orderBy("i")).alias("rides"))
 
 
 @query(sql("times") + f", {_CALLS}, {_LEGS} SELECT trip, CAST(coalesce(sum(arr - dep) FILTER (NOT ride), 0) AS BIGINT) AS walked, count(*) FILTER (ride) AS rides, coalesce(min(sure) FILTER (ride), -1) AS weakest, coalesce(min(backups) FILTER (ride), -1) AS backups FROM legs GROUP BY trip")
@@ -272,7 +248,7 @@ def c_waits(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("ride") & (F.col("dep") - F.col("since") >= WAIT)).select("trip", "i", "since", "dep")
 
 
-@query(sql("times") + f""", {_CALLS}, {_LEGS} SELECT o.trip, o.i AS i, j.i AS other, j.dep >= o.dep - {TIE} AND j.dep < o.dep AND j.arr <= o.arr + {TIE} AS near, j.arr <= o.arr + {CLOSE} AND j.backups <= o.backups AS close, greatest(j.dep * 0.6e0 - {GRACE}, 0) AS hurried
+@query(sql("times") + f""", {_CALLS}, {_LEGS} SELECT o.trip, o.i AS i, j.i AS other, j.dep >= o.dep - {TIE} AND j.dep < o.dep AND j.arr <= o.arr + {TIE} AS near, j.arr <= o.arr + {CLOSE} AND j.rides <= o.rides AS close, greatest(j.dep * 0.6e0 - {GRACE}, 0) AS hurried
  FROM legs o JOIN legs j ON j.trip = o.trip AND j.i <> o.i AND o.ride AND j.ride""")
 def f_near_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Of two options of a search: a near tie, a narrow win, and the seconds of its walk when hurrying; the pairs are of one short list."""
@@ -280,7 +256,7 @@ def f_near_ties(spark: SparkSession, sf: str) -> DataFrame:
     o, j = legs.alias("o"), legs.alias("j")
     c = F.col
     near = (c("j.dep") >= c("o.dep") - TIE) & (c("j.dep") < c("o.dep")) & (c("j.arr") <= c("o.arr") + TIE)
-    close = (c("j.arr") <= c("o.arr") + CLOSE) & (c("j.backups") <= c("o.backups"))
+    close = (c("j.arr") <= c("o.arr") + CLOSE) & (c("j.rides") <= c("o.rides"))
     rows = o.join(j, (c("o.trip") == c("j.trip")) & (c("o.i") != c("j.i")))
     return rows.select(c("o.trip").alias("trip"), c("o.i").alias("i"), c("j.i").alias("other"), near.alias("near"), close.alias("close"), F.greatest(c("j.dep") * 0.6 - GRACE, F.lit(0.0)).alias("hurried"))
 

@@ -96,17 +96,9 @@ def j_nearest_stop(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("metres", F.round("metres", 3))
 
 
-@query(sql("fixes", "times") + """, a AS (SELECT fix, dist % 20 + 1 AS stop, fix * 37 % 90000 AS t FROM fixes)
- SELECT a.fix, a.stop, a.t, min(b.t) AS next_at FROM a LEFT JOIN times b ON b.stop = a.stop AND b.t >= a.t GROUP BY 1, 2, 3""")
-def j_next_departure(spark: SparkSession, sf: str) -> DataFrame:
-    a = relation(spark, sf, "fixes").selectExpr("fix", "dist % 20 + 1 AS stop", "fix * 37 % 90000 AS t")
-    b = relation(spark, sf, "times").where("stop <= 20").select("stop", "t", "trip").distinct()
-    return R.asof_next(a, b, "stop", "t", "trip").select("fix", "stop", "t", "next_at")
-
-
 @query(sql("fixes", "stops", "times") + """, a AS (SELECT fix, dist % (SELECT max(stop) + 1 FROM stops) AS stop, fix * 37 % 90000 AS t FROM fixes)
  SELECT a.fix, a.stop, a.t, min(b.t) AS next_at FROM a LEFT JOIN times b ON b.stop = a.stop AND b.t >= a.t GROUP BY 1, 2, 3""")
-def j_next_departure_all(spark: SparkSession, sf: str) -> DataFrame:
+def j_next_departure(spark: SparkSession, sf: str) -> DataFrame:
     """The next departure where fixes ask at all stops."""
     last = relation(spark, sf, "stops").agg(F.max("stop").alias("last"))
     a = relation(spark, sf, "fixes").crossJoin(F.broadcast(last)).selectExpr("fix", "dist % (last + 1) AS stop", "fix * 37 % 90000 AS t")
@@ -141,11 +133,11 @@ def a_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
 _W = f"weight * exp(-least((now - veh_ts) / {TAU!r}, 700.0))"
 
 
-@query(sql("fixes") + f", n AS (SELECT max(veh_ts) AS now FROM fixes), f AS (SELECT *, {_W} AS w FROM fixes, n) SELECT trip, round(sum(ratio * w) / sum(w), 6) AS mean FROM f WHERE veh_ts > now - 200000 GROUP BY 1 HAVING sum(w) > 0")
+@query(sql("fixes") + f", n AS (SELECT max(veh_ts) AS now FROM fixes), f AS (SELECT *, {_W} AS w FROM fixes, n) SELECT trip, round(sum(ratio * w) / sum(w), 6) AS mean FROM f GROUP BY 1 HAVING sum(w) > 0")
 def a_decayed_mean(spark: SparkSession, sf: str) -> DataFrame:
     f = relation(spark, sf, "fixes")
-    now = F.lit(f.agg(F.max("veh_ts")).first()[0])
-    return R.decayed(f.where(F.col("veh_ts") > now - 200000), ["trip"], "ratio", "weight", "veh_ts", now, TAU).where("w > 0").select("trip", F.round("mean", 6).alias("mean"))
+    rows = f.crossJoin(F.broadcast(f.agg(F.max("veh_ts").alias("now"))))  # one row
+    return R.decayed(rows, ["trip"], "ratio", "weight", "veh_ts", F.col("now"), TAU).where("w > 0").select("trip", F.round("mean", 6).alias("mean"))
 
 
 @query(sql("fixes") + " SELECT trip, veh_ts // 3600 % 24 AS slot, round(sum(ratio * weight) / sum(weight), 9) AS mean, count(*) AS n FROM fixes WHERE weight > 0 GROUP BY GROUPING SETS ((trip), (trip, veh_ts // 3600 % 24), ())")
@@ -184,14 +176,14 @@ def a_habit(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("route").agg(F.round(share, 9).alias("waited"), F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) < 10) | (share >= 0.3)).alias("waits"))
 
 
-@query("""WITH p AS (SELECT l_suppkey % 40 AS pattern, l_partkey % 12 AS stop, count(DISTINCT (l_orderkey, CAST(l_shipdate AS DATE))) AS n FROM lineitem GROUP BY 1, 2),
- m AS (SELECT pattern, median(n) AS usual FROM p GROUP BY 1) SELECT p.pattern, stop, n, usual, round(n / usual, 9) AS share FROM p JOIN m ON m.pattern = p.pattern WHERE usual >= 5 AND n <= 0.9 * usual""")
+@query("""WITH listed AS (SELECT pattern, stop FROM (SELECT *, min(stop) OVER (PARTITION BY pattern) AS a, max(stop) OVER (PARTITION BY pattern) AS z FROM (SELECT DISTINCT p_partkey % 40 AS pattern, p_size % 12 AS stop FROM part)) WHERE stop > a AND stop < z),
+ p AS (SELECT pattern, stop, count(DISTINCT CASE WHEN l_orderkey IS NOT NULL THEN (l_orderkey, CAST(l_shipdate AS DATE)) END) AS n FROM listed LEFT JOIN lineitem ON l_suppkey % 40 = pattern AND l_partkey % 12 = stop AND l_partkey % 7 <> 3 GROUP BY 1, 2),
+ m AS (SELECT pattern, median(n) AS usual FROM p GROUP BY 1) SELECT p.pattern, stop, n, usual, round(n / usual, 9) AS share FROM p JOIN m ON m.pattern = p.pattern WHERE usual >= 5 AND n < 0.9 * usual""")
 def a_skipped_stops(spark: SparkSession, sf: str) -> DataFrame:
-    """Stops that a pattern's trips serve on far fewer trip days than its usual stop."""
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_suppkey") % 40).alias("pattern"), (F.col("l_partkey") % 12).alias("stop"), "l_orderkey", F.col("l_shipdate").cast("date").alias("day"))
-    p = df.groupBy("pattern", "stop").agg(F.count_distinct("l_orderkey", "day").alias("n"))
-    m = p.groupBy("pattern").agg(F.median("n").alias("usual"))
-    return p.join(m, "pattern").where((F.col("usual") >= 5) & (F.col("n") <= 0.9 * F.col("usual"))).select("pattern", "stop", "n", "usual", F.round(F.col("n") / F.col("usual"), 9).alias("share"))
+    """Stops that a pattern's trips serve on far fewer trip days than its usual stop; these tables' stops hardly differ."""
+    served = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 7 <> 3").select((F.col("l_suppkey") % 40).alias("pattern"), (F.col("l_partkey") % 12).alias("stop"), F.col("l_orderkey").alias("trip"), F.col("l_shipdate").cast("date").alias("day"))
+    listed = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey % 40 AS pattern", "p_size % 12 AS stop").distinct().withColumn("i", F.col("stop"))
+    return R.skipped(listed, served, 0.9, 5).select("pattern", "stop", "n", "usual", F.round("share", 9).alias("share"))
 
 
 @query(sql("fixes") + " SELECT dist // 500 AS line, CASE WHEN sum(weight) >= 3.0 THEN round(sum(ratio * weight) / sum(weight), 3) END AS ratio FROM fixes GROUP BY 1")
@@ -212,23 +204,17 @@ def a_routes_of_stop(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("stop", F.concat(F.lit("["), F.array_join("r", ", "), F.lit("]")).alias("routes"), "trips")
 
 
-@query(sql("fixes") + """ SELECT a.fix, a.trip, count(b.fix) AS n, median(b.ratio) AS miss FROM fixes a JOIN fixes b ON b.trip = a.trip AND b.veh_ts BETWEEN a.veh_ts - 86400 AND a.veh_ts WHERE a.fix % 10 = 0 GROUP BY 1, 2""")
-def a_trailing_miss(spark: SparkSession, sf: str) -> DataFrame:
-    """Median of the trailing day at every tenth fix: bucketed by day, so that each row meets two buckets."""
-    return _trailing_miss(relation(spark, sf, "fixes"), "fix % 10 = 0")
-
-
-def _trailing_miss(fixes: DataFrame, asked: str) -> DataFrame:
+def _trailing_miss(fixes: DataFrame) -> DataFrame:
     f = fixes.select("fix", "trip", "veh_ts", "ratio", F.floor(F.col("veh_ts") / 86400).alias("d"))
     b = f.select("trip", F.col("veh_ts").alias("t"), F.col("ratio").alias("r"), F.explode(F.array("d", F.col("d") + 1)).alias("d"))
-    met = f.where(asked).join(b, ["trip", "d"]).where("t BETWEEN veh_ts - 86400 AND veh_ts")
+    met = f.join(b, ["trip", "d"]).where("t BETWEEN veh_ts - 86400 AND veh_ts")
     return met.groupBy("fix", "trip").agg(F.count(F.lit(1)).alias("n"), F.median("r").alias("miss"))
 
 
 @query(sql("fixes") + " SELECT a.fix, a.trip, count(b.fix) AS n, median(b.ratio) AS miss FROM fixes a JOIN fixes b ON b.trip = a.trip AND b.veh_ts BETWEEN a.veh_ts - 86400 AND a.veh_ts GROUP BY 1, 2")
-def a_trailing_miss_all(spark: SparkSession, sf: str) -> DataFrame:
+def a_trailing_miss(spark: SparkSession, sf: str) -> DataFrame:
     """Median of the trailing day at every fix."""
-    return _trailing_miss(relation(spark, sf, "fixes"), "true")
+    return _trailing_miss(relation(spark, sf, "fixes"))
 
 
 @query(sql("times") + """, u AS (SELECT trip, i, min(part) AS part, max(d) AS d, max(wait) AS wait FROM times GROUP BY 1, 2)
@@ -304,20 +290,12 @@ def x_word_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.round(total, 6).alias("score")).where("score > 0")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 211 AS b FROM orders WHERE o_orderkey % 13 = 0 AND o_custkey IS NOT NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
- r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 211 AS b FROM orders WHERE o_custkey IS NOT NULL), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, min(r.root) FROM r JOIN u ON u.a = r.node JOIN recurring.r o ON o.node = u.b WHERE r.root < o.root GROUP BY u.b) SELECT node, root FROM r""")
 def g_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.components(spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 13 = 0 AND o_custkey IS NOT NULL").selectExpr("o_custkey AS a", "1000000 + o_orderkey % 211 AS b").distinct())
-
-
-def g_components_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Components over all orders; no SQL, as a recursion over them makes rows by the square of a component."""
     return graph.components(spark.read.parquet(f"{sf}/orders.parquet").where("o_custkey IS NOT NULL").selectExpr("o_custkey AS a", "1000000 + o_orderkey % 211 AS b").distinct())
 
 
-QUERIES["g_components_all"] = g_components_all
-
-
 @query("""WITH RECURSIVE e AS (SELECT a, b, min(c) AS c FROM (SELECT l_suppkey AS a, l_suppkey % 97 + l_linenumber AS b, CAST(l_linenumber * 40 + l_suppkey % 30 AS DOUBLE) AS c FROM lineitem) GROUP BY 1, 2),
  r AS (SELECT 1 AS node, CAST(0.0 AS DOUBLE) AS cost UNION SELECT e.b, r.cost + e.c FROM r JOIN e ON e.a = r.node WHERE r.cost + e.c <= 300) SELECT CAST(1 AS BIGINT) AS source, CAST(node AS BIGINT) AS node, min(cost) AS cost FROM r GROUP BY 2""")
 def g_reach(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,8 +11,10 @@ from headway.sources.tables import relation, sql
 QUERIES, ORACLES = {}, {}
 #: The city's box, the earth's radius in metres, seconds that a fix stays fresh, a moving vehicle's speed, the horizon.
 BOX, RADIUS, FRESH, MOVING, HORIZON = (49.76, 49.92, 23.9, 24.16), 6371000.0, 120, 0.7, 2700
-#: Fixed value: a house number that stands for a name.
-HOUSE = r"^\d+[A-Za-z]?(/\d+)?$"
+#: Seconds in which a quiet route's trips were due, and how many; the instant of these tables' day that is asked for.
+QUIET, QUIET_TRIPS, NOON = 3600, 2, 43200
+#: Fixed value: a house number that stands for a name, with a letter of any script.
+HOUSE = r"^\p{Nd}+[\p{L}\p{Nl}\p{No}]?(/\p{Nd}+[\p{L}\p{Nl}\p{No}]?)?$"
 
 
 def query(oracle: str):
@@ -150,11 +152,17 @@ def f_same_place(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.stop") < F.col("b.stop")) & near).select(F.col("a.stop").alias("a"), F.col("b.stop").alias("b"))
 
 
-@query("""SELECT c_custkey, NOT regexp_matches(s, '^[0-9]+[A-Za-z]?(/[0-9]+)?$') AS named FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN CAST(c_custkey AS VARCHAR) WHEN 2 THEN c_custkey || 'A' ELSE c_custkey || '/' || c_custkey % 9 END AS s FROM customer)""")
+_LABELS = "CASE c_custkey % 7 WHEN 0 THEN c_mktsegment WHEN 1 THEN CAST(c_custkey AS STRING) WHEN 2 THEN c_custkey || 'A' WHEN 3 THEN c_custkey || 'а' WHEN 4 THEN c_custkey || '/' || c_custkey % 9 WHEN 5 THEN c_custkey || '/2б' ELSE c_custkey || 'аб' END"
+
+
+@query(f"SELECT c_custkey, NOT regexp_matches(s, '{HOUSE}') AS named FROM (SELECT c_custkey, {_LABELS} AS s FROM customer)")
 def f_named(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col("c_custkey").cast("string")
-    s = F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 4 == 1, c).when(F.col("c_custkey") % 4 == 2, F.concat(c, F.lit("A"))).otherwise(F.concat(c, F.lit("/"), (F.col("c_custkey") % 9).cast("string")))
-    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (~s.rlike(HOUSE)).alias("named"))
+    """Names that aren't just a house number."""
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", named(F.expr(_LABELS)).alias("named"))
+
+
+def named(name: Column) -> Column:
+    return ~name.rlike(HOUSE)
 
 
 @query(sql("fixes", "trips") + """ SELECT f.fix, coalesce(CASE t.route % 3 WHEN 0 THEN 'trolleybus' WHEN 1 THEN 'tram' ELSE 'bus' END, 'bus') AS kind FROM fixes f LEFT JOIN trips t ON t.trip = f.trip
@@ -217,15 +225,19 @@ def a_covered(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("stop", "route").agg(F.max("t").alias("covered"), F.count(F.lit(1)).alias("runs"))
 
 
-@query(sql("fixes", "trips") + """, due AS (SELECT route, count(*) AS due FROM trips WHERE dep BETWEEN 39600 AND 43200 GROUP BY route), seen AS (SELECT t.route, count(DISTINCT f.veh) AS seen FROM fixes f JOIN trips t ON t.trip = f.trip GROUP BY t.route)
- SELECT d.route, d.due, coalesce(s.seen, 0) AS seen, CASE WHEN d.due < 3 THEN 'quiet' WHEN coalesce(s.seen, 0) = 0 THEN 'schedule' ELSE 'live' END AS confidence FROM due d LEFT JOIN seen s USING (route)""")
+@query(sql("fixes", "trips") + f""", due AS (SELECT route, count(*) FILTER (dep BETWEEN {NOON} - {QUIET} AND {NOON}) AS due FROM trips GROUP BY route), seen AS (SELECT t.route, count(DISTINCT f.veh) AS seen FROM fixes f JOIN trips t ON t.trip = f.trip GROUP BY t.route)
+ SELECT d.route, d.due, coalesce(s.seen, 0) AS seen, CASE WHEN coalesce(s.seen, 0) > 0 THEN 'live' WHEN d.due >= {QUIET_TRIPS} THEN 'quiet' ELSE 'schedule' END AS confidence FROM due d LEFT JOIN seen s USING (route)""")
 def a_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each route with trips due in the last hour: hardly any, none seen, or live."""
+    """A route that is seen is live; one that isn't is quiet if trips of it were due in the last hour and none came, else it is by schedule."""
     t = relation(spark, sf, "trips")
-    due = t.where("dep BETWEEN 39600 AND 43200").groupBy("route").agg(F.count(F.lit(1)).alias("due"))
+    due = t.groupBy("route").agg(F.count_if(F.col("dep").between(NOON - QUIET, NOON)).alias("due"))
     seen = relation(spark, sf, "fixes").join(t.select("trip", "route"), "trip").groupBy("route").agg(F.count_distinct("veh").alias("seen"))
     rows = due.join(seen, "route", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    return rows.select("route", "due", "seen", F.when(F.col("due") < 3, "quiet").when(F.col("seen") == 0, "schedule").otherwise("live").alias("confidence"))
+    return rows.select("route", "due", "seen", route_confidence(F.col("seen"), F.col("due")).alias("confidence"))
+
+
+def route_confidence(seen: Column, due: Column, least: int = QUIET_TRIPS) -> Column:
+    return F.when(seen > 0, "live").when(due >= least, "quiet").otherwise("schedule")
 
 
 @query("SELECT event_type AS feed, count(*) AS polls, sum(event_id % 50) AS rows, count(*) FILTER (WHERE event_id % 17 = 0) AS errors, max(event_id % 900) AS slowest FROM events GROUP BY 1")
@@ -363,28 +375,25 @@ def t_route_order(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(before, ["kind", "number"]).select("c_custkey", (F.col("base") + F.row_number().over(w)).alias("place"), "number")
 
 
-@query(sql("trips") + """, cal AS (SELECT DISTINCT service, DATE '1993-01-01' AS start, DATE '1997-06-30' AS fin FROM trips WHERE service <> '5-LOW'), x AS (SELECT service, day, min(trip) % 2 = 0 AS added FROM trips WHERE trip % 11 = 0 GROUP BY 1, 2)
- SELECT t.trip, t.service FROM trips t LEFT JOIN cal c ON c.service = t.service LEFT JOIN x ON x.service = t.service AND x.day = t.day
- WHERE coalesce(x.added, isodow(t.day) <= 5 AND t.day BETWEEN c.start AND c.fin, NOT EXISTS (SELECT 1 FROM cal))""")
-def f_calendar_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """An exception wins, else weekday and dates; a service without a calendar row runs only where there is no calendar at all."""
-    t = relation(spark, sf, "trips")
-    cal = t.where("service <> '5-LOW'").select("service", F.lit("1993-01-01").cast("date").alias("start"), F.lit("1997-06-30").cast("date").alias("fin")).distinct()
-    x = t.where("trip % 11 = 0").groupBy("service", "day").agg((F.min("trip") % 2 == 0).alias("added"))
-    some = cal.agg((F.count(F.lit(1)) == 0).alias("free")).withColumn("one", F.lit(1))
-    rows = t.join(F.broadcast(cal), "service", "left").join(x, ["service", "day"], "left").withColumn("one", F.lit(1)).join(F.broadcast(some), "one")
-    usual = (F.weekday("day") < 5) & F.col("day").between(F.col("start"), F.col("fin"))
-    return rows.where(F.coalesce("added", usual, "free")).select("trip", "service")
-
-
-@query(sql("trips") + """, nxt AS (SELECT trip, dep, lead(trip) OVER w AS n1, lead(trip, 2) OVER w AS n2, lead(trip, 3) OVER w AS n3, lead(dep) OVER w AS d1, lead(dep, 2) OVER w AS d2, lead(dep, 3) OVER w AS d3 FROM trips WINDOW w AS (PARTITION BY block ORDER BY dep, trip))
- SELECT trip, k, CASE k WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE n3 END AS later FROM nxt, (SELECT unnest([1, 2, 3]) AS k) WHERE CASE k WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END <= dep + 2700""")
+@query(sql("trips", "fixes") + f""", running AS (SELECT DISTINCT trip FROM fixes), x AS (SELECT t.trip, o.trip AS later, row_number() OVER (PARTITION BY t.trip ORDER BY o.dep, o.trip) AS k, o.trip IN (SELECT trip FROM running) AS elsewhere
+   FROM trips t JOIN trips o ON o.block = t.block AND (o.dep, o.trip) > (t.dep, t.trip) AND o.dep <= t.dep + {HORIZON})
+ SELECT trip, k, later FROM x QUALIFY count(*) FILTER (elsewhere) OVER (PARTITION BY trip ORDER BY k) = 0""")
 def j_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """The trips that follow a trip on its vehicle before the horizon, three at most."""
-    w = Window.partitionBy("block").orderBy("dep", "trip")
-    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lead("trip", k).over(w).alias("later"), F.lead("dep", k).over(w).alias("at")) for k in (1, 2, 3)))
-    rows = relation(spark, sf, "trips").select("trip", "dep", steps.alias("s")).select("trip", "dep", F.inline("s"))
-    return rows.where(F.col("at") <= F.col("dep") + HORIZON).select("trip", "k", "later")
+    """All the trips that follow a trip on its vehicle before the horizon, up to one that already runs elsewhere."""
+    t = relation(spark, sf, "trips").select("trip", "block", "dep")
+    running = relation(spark, sf, "fixes").select("trip").distinct().withColumn("elsewhere", F.lit(True))
+    return chained(t, running, HORIZON)
+
+
+def chained(trips: DataFrame, running: DataFrame, horizon: int) -> DataFrame:
+    """trip, k, later: a block is cut into spans of the horizon, so that a trip meets those of two spans, not of its whole block."""
+    span = F.floor(F.col("dep") / horizon)
+    after = trips.join(running.select("trip", "elsewhere"), "trip", "left").select(F.col("block"), F.col("trip").alias("later"), F.col("dep").alias("at"), F.coalesce("elsewhere", F.lit(False)).alias("elsewhere"), span.alias("span"))
+    asked = trips.select("trip", "block", "dep", F.explode(F.array(span, span + 1)).alias("span"))
+    met = asked.join(after, ["block", "span"]).where((F.struct("at", "later") > F.struct("dep", "trip")) & (F.col("at") <= F.col("dep") + horizon))
+    w = Window.partitionBy("trip").orderBy("at", "later").rowsBetween(Window.unboundedPreceding, 0)
+    rows = met.select("trip", "later", F.count(F.lit(1)).over(w).alias("k"), F.bool_or("elsewhere").over(w).alias("over"))
+    return rows.where("NOT over").select("trip", "k", "later")
 
 
 @query(sql("stops", "times", "trips") + f""", {_CALLS}, soon AS (SELECT c.stop, t.route, min(c.t) AS t FROM calls c JOIN trips t ON t.trip = c.trip WHERE c.t >= 43200 GROUP BY 1, 2)

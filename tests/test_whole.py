@@ -20,7 +20,7 @@ def test_stream_has_every_window(spark):
 
 
 def test_trailing_miss_of_every_fix(spark):
-    got = [r.fix for r in catalog.QUERIES["a_trailing_miss_all"](spark, SF).collect()]
+    got = [r.fix for r in catalog.QUERIES["a_trailing_miss"](spark, SF).collect()]
     assert sorted(got) == sorted(r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").collect())
 
 
@@ -35,12 +35,12 @@ def test_components_of_all_orders(spark):
     for r in spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey IS NOT NULL").collect():
         a, b = sorted((find(r.o_custkey), find(1000000 + r.o_orderkey % 211)))
         root[b] = a
-    assert {r.node: r.root for r in catalog.QUERIES["g_components_all"](spark, SF).collect()} == {x: find(x) for x in root}
+    assert {r.node: r.root for r in catalog.QUERIES["g_components"](spark, SF).collect()} == {x: find(x) for x in root}
 
 
 def test_next_departure_at_all_stops(spark):
     sf = "/root/testdata/sf0.01"
-    got = {r.stop for r in catalog.QUERIES["j_next_departure_all"](spark, sf).collect()}
+    got = {r.stop for r in catalog.QUERIES["j_next_departure"](spark, sf).collect()}
     assert got == {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
 
 
@@ -53,3 +53,43 @@ def test_services_without_a_calendar_row(spark):
     assert run(calendar, exceptions) == [1, 3]
     assert run(calendar.limit(0), exceptions) == [3]
     assert run(calendar.limit(0), exceptions.limit(0)) == [1, 2, 3, 4]
+
+
+def test_route_confidence(spark):
+    """A seen route is live even with few trips due; an unseen one with two due is quiet, with fewer it goes by the schedule."""
+    from headway.plans.service import route_confidence
+
+    rows = spark.createDataFrame([(1, 0), (3, 9), (0, 2), (0, 1), (0, 0)], "seen int, due int").select(route_confidence(F.col("seen"), F.col("due")).alias("c")).collect()
+    assert [r.c for r in rows] == ["live", "live", "quiet", "schedule", "schedule"]
+
+
+def test_house_numbers_are_no_names(spark):
+    from headway.plans.service import named
+
+    words = ["7а", "12/2б", "7", "7A", "12/2", "7аб", "Зелена 7", "7 а", "/2", "x7", "12/"]
+    got = [r.n for r in spark.createDataFrame([(w,) for w in words], "w string").select(named(F.col("w")).alias("n")).collect()]
+    assert got == [False] * 5 + [True] * 6
+
+
+def test_trips_chain_to_the_horizon(spark):
+    from headway.plans.service import chained
+
+    trips = spark.createDataFrame([(k, 1, 100 * k) for k in range(12)] + [(50, 2, 0), (51, 2, 0), (52, 2, 2700), (53, 2, 2701)], "trip long, block long, dep long")
+    running = spark.createDataFrame([(9, True)], "trip long, elsewhere boolean")
+    got = {}
+    for r in chained(trips, running, 2700).collect():
+        got.setdefault(r.trip, []).append((r.k, r.later))
+    got = {t: sorted(v) for t, v in got.items()}
+    assert got[0] == [(k, k) for k in range(1, 9)]  # trip 9 already runs elsewhere
+    assert got[9] == [(1, 10), (2, 11)] and 8 not in got
+    assert got[50] == [(1, 51), (2, 52)] and got[51] == [(1, 52)] and got[52] == [(1, 53)]
+
+
+def test_skipped_stops(spark):
+    listed = spark.createDataFrame([("p", i, s) for i, s in enumerate("abcdef")] + [("q", i, s) for i, s in enumerate("abc")], "pattern string, i int, stop string")
+    served = [("p", s, t, d) for s in "bde" for t in range(20) for d in range(2)] + [("p", "d", 0, 0), ("p", "c", 1, 1), ("p", "c", 1, 1), ("q", "b", 1, 1), ("p", "zz", 1, 1)]
+    got = [tuple(r) for r in R.skipped(listed, spark.createDataFrame(served, "pattern string, stop string, trip int, day int")).collect()]
+    assert got == [("p", "c", 1, 40.0, 0.025)]
+    nobody = [r for r in served if r[1] != "c"]
+    got = [tuple(r) for r in R.skipped(listed, spark.createDataFrame(nobody, "pattern string, stop string, trip int, day int")).collect()]
+    assert got == [("p", "c", 0, 40.0, 0.0)]  # a stop that no trip served
