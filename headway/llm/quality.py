@@ -3,16 +3,16 @@
 Heuristic labellers vote on each document, some on junk (symbols, shouting, repetition, separators) and some
 on toxicity (insults: a given list and words that labelled rows show). They overlap and err; for each of
 the two, expectation-maximisation over the counts of vote patterns estimates how often each labeller is
-right, and so the posterior of each pattern. Those posterior labels train a linear scorer over hashed
-features (words, the last three character classes of words, and the votes): a feature's weight is its
-log-odds over all documents, kept where it is significant and STRONG: weaker features depend on each other too
-much for their log-odds to be added up. A document that either score finds bad is rejected.
-
-Counts of votes and features cover all documents; only the insult words come from labelled rows, at most
-MAX_LABELLED of them by hash (ties by doc_id), all that qualify. Features are hashed to DIMENSIONS numbers, which
-bounds the model. Without labelled rows the given list stands alone. Null, empty and blank texts have no features:
-their scores are the scorer's bias, and they are kept. Rows that repeat a doc_id, or have none, are judged each by
-its own text, very long ones whole; other columns are ignored, or kept by `filtered`; an empty table gives no rows.
+right, and so the posterior of each pattern. Those posteriors are the labels of a linear scorer over hashed features: the words
+of a text, the classes of their last three characters, and statistics of the text in steps. It is a regularised logistic
+regression, fitted by Spark; it alone decides, the votes have no part in a score. A document that either score finds bad is rejected.
+
+Votes are counted over all documents, texts of the same digest once. The scorer is fitted to MAX_FITTED different texts at most, an equal part
+of those found junk, found toxic and found neither, each by least digest; the insult words come from MAX_LABELLED labelled rows at most, by hash (ties by
+doc_id), all that qualify (ties don't matter: no number of words is set). Features are hashed to DIMENSIONS numbers. Without labelled rows the
+given list stands alone; where no document is found bad, none is rejected. Null, empty and blank texts have no features: their scores are the scorer's bias.
+Rows that repeat a doc_id, or have none, are judged each by its own text, very long ones whole; other columns are ignored, or kept by `filtered`;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,26 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import repeats
 from headway.llm.common import slices, stage, table, texts
 
 #: Labelled rows that the insult words are read from.
 MAX_LABELLED = 20_000
-DIMENSIONS = 2**22
-#: A feature's log-odds must be so many standard errors away from nothing, and so large.
-SIGNIFICANT, STRONG = 5.0, 4.0
-#: Counts that a task holds before it sums or sends them.
-HELD = 400_000
-#: Groups of near copies that must share a feature, at least.
-GROUPS = 5
-#: The largest rate of false votes of a labeller on good documents.
-FALSE = 0.003
+#: Different texts that the scorer is fitted to.
+MAX_FITTED = 20_000
+DIMENSIONS = 2**19
+#: Weight of the squared weights in what the fit makes small, and its rounds.
+PENALTY, ROUNDS = 1e-5, 40
+#: Steps of a text's statistics.
+STEPS = np.array([0.02, 0.05, 0.08, 0.12, 0.2, 0.35, 0.5, 0.75, 0.9])
 #: Common insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "pathetic", "scum", "worthless", "disgusting", "trash", "clown", "imbecile")
 JUNK = ("symbols", "marked", "shouting", "repeats", "separators", "runs")
 TOXIC = ("insult", "learned", "insults")
 U = np.uint64
-_BYTES = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64)
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,6 +50,21 @@ _SYMBOL = np.isin(_CLASS, [97, 65, 48]) ^ True
 _SYMBOL &= ~_BLANK & ~np.isin(np.arange(256), [*b".,;:'\"!?()-"])
 
 
+class Known(dict):
+    """xxh3 hashes of words, each worked out once while there are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxh3_64_intdigest(word)
+        return h
+
+
+_KNOWN = Known()
+
+
 class Batch:
     """Word hashes, shapes and statistics of a batch of texts, laid end to end."""
 
@@ -68,10 +79,11 @@ class Batch:
         low = _LOWER[body]
         # words without punctuation behind them
         bare = end - np.isin(body[end - 1], [*b".,;:!?"]) if len(end) else end
-        self.words = repeats.mixed(repeats.Hashes(_BYTES[low]).of(start, np.maximum(bare, start)) + U(1))
+        text = low.tobytes()
+        self.words = np.array([_KNOWN[text[a:b]] for a, b in zip(start.tolist(), bare.tolist())], U)
         shape = _CLASS[body].astype(U)
         at = lambda k: np.where(end - k >= start, shape[np.maximum(end - k, 0)], U(0))
-        self.shapes = repeats.mixed(at(1) | at(2) << U(8) | at(3) << U(16) | U(1 << 40))
+        self.shapes = at(1) | at(2) << U(8) | at(3) << U(16)
 
         def per(mask):
             total = np.concatenate([[0], np.cumsum(mask)])
@@ -90,19 +102,14 @@ class Batch:
         different = np.bincount(o[np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])] if len(o) else o, minlength=self.n)
         often = words > 20
         same = np.concatenate([[False], (self.words[1:] == self.words[:-1]) & (self.of[1:] == self.of[:-1])]) if len(start) else double
-        self.junk = np.stack([
-            per(_SYMBOL[body]) > 0.08 * chars, np.bincount(self.of, weights=double, minlength=self.n) > 0.2 * some,
-            (upper > 0.5 * letters) & often, often & (different < 0.1 * words), np.bincount(self.of, weights=alone, minlength=self.n) > 0.15 * some,
-            np.bincount(self.of, weights=same, minlength=self.n) > 0.1 * np.maximum(some, 10),
+        # parts of: symbols, doubled signs, capitals, different words, signs that stand alone, words said twice
+        parts = np.stack([
+            per(_SYMBOL[body]) / chars, np.bincount(self.of, weights=double, minlength=self.n) / some, upper / letters,
+            different / some, np.bincount(self.of, weights=alone, minlength=self.n) / some, np.bincount(self.of, weights=same, minlength=self.n) / np.maximum(some, 10),
         ], axis=1)
-
-    def groups(self) -> np.ndarray:
-        """The least word hash of each text, which near copies mostly share."""
-        out = np.zeros(self.n, U)
-        if len(self.of):
-            at = np.flatnonzero(np.diff(self.of, prepend=-1))
-            out[self.of[at]] = np.minimum.reduceat(self.words, at)
-        return repeats.mixed(out)
+        self.junk = np.stack([parts[:, 0] > 0.08, parts[:, 1] > 0.2, (parts[:, 2] > 0.5) & often, often & (parts[:, 3] < 0.1), parts[:, 4] > 0.15, parts[:, 5] > 0.1], axis=1)
+        # a step for each statistic, with whether the text is long enough to tell
+        self.steps = (np.searchsorted(STEPS, parts) * 2 + often[:, None]) * parts.shape[1] + np.arange(parts.shape[1])
 
     def votes(self, given: np.ndarray, learned: np.ndarray) -> np.ndarray:
         return np.concatenate([self.junk, self.toxic(given, learned)], axis=1).astype(np.int64)
@@ -113,9 +120,13 @@ class Batch:
         return np.stack([count(known) > 0, count(read) > 0, count(known | read) > 1], axis=1)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Document and feature, each pair once."""
-        f = np.concatenate([self.words, self.shapes]) % U(DIMENSIONS)
-        pair = np.unique(np.concatenate([self.of, self.of]).astype(U) * U(DIMENSIONS) + f)
+        """Document and feature, each pair once. Classes and steps stand below the words' numbers, of which there are the rest."""
+        fixed = 64 * 64
+        shape = self.shapes % U(fixed - 256)
+        number = lambda h: h % U(DIMENSIONS - fixed) + U(fixed)
+        f = np.concatenate([number(self.words), shape + U(256), self.steps[self.n_words > 0].astype(U).ravel()])
+        doc = np.concatenate([self.of, self.of, np.repeat(np.flatnonzero(self.n_words > 0), self.steps.shape[1])])
+        pair = np.unique(doc.astype(U) * U(DIMENSIONS) + f)
         return (pair // U(DIMENSIONS)).astype(np.int64), (pair % U(DIMENSIONS)).astype(np.int64)
 
 
@@ -149,7 +160,7 @@ def em(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple[dict[
         bad, good = n * post, n * (1 - post)
         prior = (bad.sum() + 1) / (n.sum() + 20)
         hit = np.clip((bad @ v + 1) / (bad.sum() + 2), 1e-4, 1 - 1e-4)
-        false = np.clip((good @ v + 0.01) / (good.sum() + 2), 1e-4, FALSE)
+        false = np.clip((good @ v + 0.01) / (good.sum() + 2), 1e-4, 1 - 1e-4)
         odds = np.log(prior / (1 - prior)) + v @ np.log(hit / false) + (1 - v) @ np.log((1 - hit) / (1 - false))
         new = 1 / (1 + np.exp(-odds))
         new[v.sum(axis=1) == 0] = np.minimum(new[v.sum(axis=1) == 0], 0.01)  # no vote is no evidence
@@ -159,76 +170,68 @@ def em(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple[dict[
     return dict(zip(codes.tolist(), post.tolist())), hit, false
 
 
-_COUNTS = "pattern int, feature int, n long, bits long"
-
+def _voted(given: np.ndarray, learned: np.ndarray):
+    """The vote pattern of each text, beside its digest."""
 
-def _count(given: np.ndarray, learned: np.ndarray, most: int = HELD):
-    """Counts of documents by vote pattern (feature -1) and by pattern and feature, a row for each in a task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, size=400_000):
+            votes = Batch([x.encode() for x in b.column("text").to_pylist()]).votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(votes.astype(np.int32))], ["digest", "pattern"])
 
-    bits has a bit for each group of near copies (by their least word hash), to tell how many groups there are at least.
-    """
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
-        held, size = [none], 0
 
-        def sent(keys: np.ndarray, totals: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(((keys & (2**32 - 1)) - 1).astype(np.int32)), pa.array(totals), pa.array(bits.view(np.int64))], ["pattern", "feature", "n", "bits"])
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each text, as one list."""
+    for b in slices(batches, size=400_000):
+        own = Batch([x.encode() for x in b.column("text").to_pylist()])
+        doc, feature = own.features()
+        ends = np.searchsorted(doc, np.arange(own.n + 1))
+        yield pa.RecordBatch.from_arrays([b.column("pattern"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["pattern", "features"])
 
-        def summed() -> tuple[np.ndarray, ...]:
-            keys, n, bits = (np.concatenate(x) for x in zip(*held))
-            if not len(keys):
-                return none
-            order = np.argsort(keys, kind="stable")
-            at = np.flatnonzero(np.diff(keys[order], prepend=-1))
-            return keys[order][at], np.add.reduceat(n[order], at), np.bitwise_or.reduceat(bits[order], at)
 
-        for b in slices(batches, size=400_000):
-            own = Batch([x.encode() for x in b.column(0).to_pylist()])
-            votes = own.votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
-            doc, feature = own.features()
-            bit = U(1) << (own.groups() & U(63))
-            held.append((np.concatenate([votes << 32, (votes[doc] << 32) + feature + 1]), np.ones(own.n + len(doc), np.int64), np.concatenate([bit, bit[doc]])))
-            size += len(held[-1][0])
-            if size > most:
-                held = [summed()]
-                size = len(held[0][0])
-                if size > most // 2:  # too many different ones to hold
-                    yield sent(*held[0])
-                    held, size = [none], 0
-        yield sent(*summed())
+def fitted(rows: DataFrame, posterior: dict[int, float]) -> tuple[float, np.ndarray]:
+    """Bias and weights of the logistic regression on rows of pattern and features, where a row is bad with its pattern's
+    posterior: it takes part as a bad one and as a good one, by these weights. Spark sums the gradients."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    return run
+    vector = F.udf(lambda f: SparseVector(DIMENSIONS, f, [1.0] * len(f)), VectorUDT())
+    each = rows.sparkSession.createDataFrame([(int(p), float(x)) for p, x in posterior.items()], "pattern int, p double")  # 512 rows at most
+    both = rows.join(F.broadcast(each), "pattern").select(vector("features").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("e"))
+    both = both.select("features", "e.label", "e.weight").where("weight > 0.001")
+    if both.select("label").distinct().count() < 2:
+        return -1.0, np.zeros(DIMENSIONS)
+    model = LogisticRegression(weightCol="weight", regParam=PENALTY, maxIter=ROUNDS, standardization=False).fit(both)
+    return float(model.intercept), model.coefficients.toArray()
 
 
-def train(docs: DataFrame, labels: DataFrame | None) -> dict:
+def train(docs: DataFrame, labels: DataFrame | None, most: int = MAX_FITTED) -> dict:
     """The scorer: for each of junk and toxicity a bias and weights, with the labellers' estimated rates."""
     learned = insult_words(docs, labels) if labels is not None else []
     words = hashed(list(INSULTS)), hashed(learned)
-    counts = stage(texts(docs).select("text").mapInArrow(_count(*words), _COUNTS).groupBy("pattern", "feature").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")))
-    patterns = {r.pattern: r.n for r in counts.where("feature = -1").collect()}  # 512 at most
-    total, out = sum(patterns.values()), {"words": words, "learned": learned}
+    digested = texts(docs).select("text").withColumn("digest", F.xxhash64("text"))
+    seen = stage(digested.mapInArrow(_voted(*words), "digest long, pattern int").groupBy("digest").agg(F.min("pattern").alias("pattern")))
+    patterns = {r.pattern: r.n for r in seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # 512 at most
+    out, posts = {"words": words, "learned": learned}, {}
     for name, first, k in (("junk", 0, len(JUNK)), ("toxic", len(JUNK), len(TOXIC))):
         own: dict[int, int] = {}
         for p, n in patterns.items():
             c = p >> first & (1 << k) - 1
             own[c] = own.get(c, 0) + n
         post, hit, false = em(own, k)
-        each = {p: post[p >> first & (1 << k) - 1] for p in patterns}
-        n1 = sum(patterns[p] * each[p] for p in patterns)
-        bias = float(np.log((n1 + 1) / (total - n1 + 1)))
-        found = []
-        if total:
-            spark = docs.sparkSession
-            post_of = F.broadcast(spark.createDataFrame([(int(p), float(x)) for p, x in each.items()], "pattern int, post double"))  # 512 rows at most
-            rows = counts.where("feature >= 0").join(post_of, "pattern").groupBy("feature").agg(F.sum(F.col("n") * F.col("post")).alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or(F.when(F.col("post") > 0.5, F.col("bits")))).alias("groups"))
-            odds = F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("a") + 0.5) / (total - n1 + 1)))
-            rows = rows.where(F.col("groups") >= GROUPS).select("feature", odds.alias("w"), (odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))).alias("z"))
-            found = rows.where((F.col("z") > SIGNIFICANT) & (F.col("w") > STRONG)).collect()  # DIMENSIONS at most
-        found = sorted((r.feature, min(r.w, 8.0)) for r in found)
-        votes = np.zeros(len(JUNK) + len(TOXIC))
-        votes[first : first + k] = np.log(hit / false)
-        out[name] = {"bias": bias, "features": np.array([f for f, _ in found], np.int64), "weights": np.array([w for _, w in found]), "votes": votes, "hit": hit, "false": false, "posterior": post}
+        posts[name] = {p: post[p >> first & (1 << k) - 1] for p in patterns}
+        out[name] = {"hit": hit, "false": false, "posterior": post}
+    kind = {p: 0 if posts["junk"][p] > 0.5 else 1 if posts["toxic"][p] > 0.5 else 2 for p in patterns}
+    rows = docs.sparkSession.createDataFrame([], "pattern int, features array<int>")
+    if patterns:
+        chosen = [seen.where(F.col("pattern").isin([p for p in kind if kind[p] == c])).orderBy(F.xxhash64("digest"), "digest").limit(most // 3) for c in range(3)]
+        chosen = stage(chosen[0].unionByName(chosen[1]).unionByName(chosen[2]))
+        # `most` digests, and a copy of each text that has one
+        picked = digested.join(F.broadcast(chosen), "digest").groupBy("digest").agg(F.first("pattern").alias("pattern"), F.first("text").alias("text"))
+        rows = stage(picked.select("pattern", "text").mapInArrow(_featured, "pattern int, features array<int>"))
+    for name in ("junk", "toxic"):
+        out[name]["bias"], out[name]["weights"] = fitted(rows, posts[name]) if patterns else (-1.0, np.zeros(DIMENSIONS))
     return out
 
 
@@ -238,12 +241,7 @@ def _score(model):
         for b in slices(batches, size=400_000):
             own = Batch([x.encode() for x in b.column(1).to_pylist()])
             doc, feature = own.features()
-            votes, s = own.votes(*m["words"]), []
-            for h in (m["junk"], m["toxic"]):
-                at = np.searchsorted(h["features"], feature)
-                known = at < len(h["features"])
-                known[known] = h["features"][at[known]] == feature[known]
-                s.append(h["bias"] + votes @ h["votes"] + np.bincount(doc[known], weights=h["weights"][at[known]], minlength=own.n))
+            s = [h["bias"] + np.bincount(doc, weights=h["weights"][feature], minlength=own.n) for h in (m["junk"], m["toxic"])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s[0]), pa.array(s[1])], ["doc_id", "text", "junk_score", "toxic_score"])
 
     return run
@@ -251,7 +249,7 @@ def _score(model):
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, text, junk_score, toxic_score, kept."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS features and the words of MAX_LABELLED rows at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights of each score
     rows = texts(docs).mapInArrow(_score(held), "doc_id long, text string, junk_score double, toxic_score double")
     return rows.withColumn("kept", (F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0))
 
