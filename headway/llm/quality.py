@@ -30,7 +30,7 @@ from headway.llm.common import slices, stage, table, texts
 MAX_LABELLED = 20_000
 #: Different texts that the scorer is fitted to.
 MAX_FITTED = 20_000
-DIMENSIONS = 2**19
+DIMENSIONS = 2**17
 #: Weight of the squared weights in what the fit makes small, and its rounds.
 PENALTY, ROUNDS = 1e-5, 40
 #: Steps of a text's statistics.
