@@ -5,7 +5,7 @@ on toxicity (insults: a given list and words that labelled rows show). They over
 the two, expectation-maximisation over the counts of vote patterns estimates how often each labeller is
 right, and so the posterior of each pattern. Those posteriors are the labels of a linear scorer over hashed features: the words
 of a text, the classes of their last three characters, and statistics of the text in steps. It is a regularised logistic
-regression, fitted by Spark; it alone decides, the votes have no part in a score. A document that either score finds bad is rejected.
+regression, whose gradients Spark sums; it alone decides, the votes have no part in a score. A document that either score finds bad is rejected.
 
 Votes are counted over all documents, texts of the same digest once. The scorer is fitted to MAX_FITTED different texts at most, an equal part
 of those found junk, found toxic and found neither, each by least digest; the insult words come from MAX_LABELLED labelled rows at most, by hash (ties by
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import slices, stage, table, texts
+from headway.llm.common import freeing, slices, stage, table, texts
 
 #: Labelled rows that the insult words are read from.
 MAX_LABELLED = 20_000
@@ -33,6 +33,8 @@ MAX_FITTED = 20_000
 DIMENSIONS = 2**17
 #: Weight of the squared weights in what the fit makes small, and its rounds.
 PENALTY, ROUNDS = 1e-5, 40
+#: Features whose gradients travel as one piece.
+BLOCK = 4096
 #: Steps of a text's statistics.
 STEPS = np.array([0.02, 0.05, 0.08, 0.12, 0.2, 0.35, 0.5, 0.75, 0.9])
 #: Common insults.
@@ -190,20 +192,122 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("pattern"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["pattern", "features"])
 
 
-def fitted(rows: DataFrame, posterior: dict[int, float]) -> tuple[float, np.ndarray]:
-    """Bias and weights of the logistic regression on rows of pattern and features, where a row is bad with its pattern's
-    posterior: it takes part as a bad one and as a good one, by these weights. Spark sums the gradients."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def lower(point: np.ndarray, rounds: int, pairs: int = 10):
+    """Limited-memory BFGS with halved steps, as a generator: yields points, is sent value and gradient there, and returns the lowest."""
+    value, slope = yield point
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, kept = -slope, []
+        for s, y, r in reversed(past):
+            kept.append(r * (s @ way))
+            way -= kept[-1] * y
+        if past:
+            s, y, r = past[-1]
+            way /= r * (y @ y)
+        for (s, y, r), k in zip(past, reversed(kept)):
+            way += (k - r * (y @ way)) * s
+        fall = way @ slope
+        if not fall < 0:
+            break
+        step = 1.0 if past else 1 / np.sqrt(-fall)
+        for _ in range(30):
+            new_value, new_slope = yield point + step * way
+            if new_value <= value + 1e-4 * step * fall:
+                break
+            step /= 2
+        else:
+            break
+        s, y, gain = step * way, new_slope - slope, value - new_value
+        point, value, slope = point + s, new_value, new_slope
+        if gain <= 1e-9 * abs(value):
+            break
+        if s @ y > 0:
+            past = [*past[1 - pairs :], (s, y, 1 / (s @ y))]
+    return point
 
-    vector = F.udf(lambda f: SparseVector(DIMENSIONS, f, [1.0] * len(f)), VectorUDT())
-    each = rows.sparkSession.createDataFrame([(int(p), float(x)) for p, x in posterior.items()], "pattern int, p double")  # 512 rows at most
-    both = rows.join(F.broadcast(each), "pattern").select(vector("features").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("e"))
-    both = both.select("features", "e.label", "e.weight").where("weight > 0.001")
-    if both.select("label").distinct().count() < 2:
-        return -1.0, np.zeros(DIMENSIONS)
-    model = LogisticRegression(weightCol="weight", regParam=PENALTY, maxIter=ROUNDS, standardization=False).fit(both)
-    return float(model.intercept), model.coefficients.toArray()
+
+def _gradients(held):
+    """Blocks of a partition's sums for each score: by feature those of the errors of its rows, then of errors, then of losses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares, points = held.value
+        sums = np.zeros((len(points), DIMENSIONS + 2))
+        for b in batches:
+            lists = b.column("features")
+            feature, doc = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            for (bias, weights), total, own in zip(points, sums, shares):
+                bad, good = np.array([own.get(p, (0.0, 0.0)) for p in b.column("pattern").to_pylist()]).reshape(-1, 2).T
+                margin = bias + np.bincount(doc, weights=weights[feature], minlength=b.num_rows)
+                losses, others = np.logaddexp(0, -margin), np.logaddexp(0, margin)
+                error = (bad + good) * np.exp(-losses) - bad
+                total[:DIMENSIONS] += np.bincount(feature, weights=error[doc], minlength=DIMENSIONS)
+                total[DIMENSIONS:] += error.sum(), bad @ losses + good @ others
+        at = range(0, DIMENSIONS + 2, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array([np.ascontiguousarray(sums[:, k : k + BLOCK]).tobytes() for k in at], pa.binary())], ["block", "sums"])
+
+    return run
+
+
+def _added(t: pa.Table) -> pa.Table:
+    total = 0.0
+    for x in t.column("sums"):
+        total = total + np.frombuffer(x.as_buffer())
+    return pa.table([t.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
+
+
+def gradients(rows: DataFrame, shares: list[dict], points: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """For each score, by one job: sums of errors by feature, of errors, and of losses at its point. Tasks add them up by blocks, so that
+    the driver gets one array of DIMENSIONS + 2 numbers for each score, in small pieces. shares: of each pattern, bad and good."""
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast((shares, points))
+    with freeing(spark):
+        got = rows.mapInArrow(_gradients(held), "block int, sums binary").groupBy("block").applyInArrow(_added, "block int, sums binary").collect()
+    held.destroy()
+    blocks = [np.frombuffer(r.sums).reshape(len(points), -1) for r in sorted(got, key=lambda r: r.block)]
+    return np.concatenate(blocks, axis=1) if blocks else np.zeros((len(points), DIMENSIONS + 2))
+
+
+def fits(rows: DataFrame, posteriors: list[dict[int, float]]) -> list[tuple[float, np.ndarray]]:
+    """Bias and weights of a logistic regression for each of the posteriors, on rows of pattern and features, where a row is bad with its
+    pattern's posterior: it takes part as a bad one and as a good one, by these weights. All are fitted side by side: a job of Spark sums the gradients
+    of all at the points that they ask for. Steps are taken in the driver's Python: vectors of a megabyte that many rounds throw away would
+    fill the heap of its JVM."""
+    n = {r.pattern: r.n for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # 512 at most
+    shares = [{int(p): tuple(x if x > 0.001 else 0.0 for x in (float(q), 1 - float(q))) for p, q in own.items()} for own in posteriors]
+    of = [[sum(n[p] * x[k] for p, x in own.items() if p in n) for k in (0, 1)] for own in shares]
+    out = [(-1.0, np.zeros(DIMENSIONS))] * len(shares)
+    todo = [k for k, (bad, good) in enumerate(of) if bad > 0 and good > 0]
+    if not todo:
+        return out
+    # errors of a half where every row is a good one: half the rows with each feature
+    half = gradients(rows, [{p: (0.0, 1.0) for p in n}], [(0.0, np.zeros(DIMENSIONS))])[0]
+    mean = half[:DIMENSIONS] / half[DIMENSIONS]
+    # steps are taken on centred features of equal spread; those that all rows have, or none, stay out
+    spread = np.sqrt(np.maximum(mean * (1 - mean), 0))
+    scale = np.divide(1, spread, out=np.zeros(DIMENSIONS), where=spread > 1e-9)
+
+    def plain(point: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = point[:-1] * scale
+        return float(point[-1] - mean @ weights), weights
+
+    runs = {k: lower(np.append(np.zeros(DIMENSIONS), np.log(of[k][0] / of[k][1])), ROUNDS) for k in todo}
+    asked = {k: next(run) for k, run in runs.items()}
+    while asked:
+        points = {k: plain(x) for k, x in asked.items()}
+        for k, total in zip(points, gradients(rows, [shares[k] for k in points], list(points.values()))):
+            weights, size = points[k][1], sum(of[k])
+            slope = np.append(((total[:DIMENSIONS] - mean * total[DIMENSIONS]) / size + PENALTY * weights) * scale, total[DIMENSIONS] / size)
+            try:
+                asked[k] = runs[k].send((total[-1] / size + PENALTY / 2 * (weights @ weights), slope))
+            except StopIteration as end:
+                out[k] = plain(end.value)
+                del asked[k]
+    return out
+
+
+def fitted(rows: DataFrame, posterior: dict[int, float]) -> tuple[float, np.ndarray]:
+    """One of `fits`."""
+    return fits(rows, [posterior])[0]
 
 
 def train(docs: DataFrame, labels: DataFrame | None, most: int = MAX_FITTED) -> dict:
@@ -230,8 +334,8 @@ def train(docs: DataFrame, labels: DataFrame | None, most: int = MAX_FITTED) ->
         # `most` digests, and a copy of each text that has one
         picked = digested.join(F.broadcast(chosen), "digest").groupBy("digest").agg(F.first("pattern").alias("pattern"), F.first("text").alias("text"))
         rows = stage(picked.select("pattern", "text").mapInArrow(_featured, "pattern int, features array<int>"))
-    for name in ("junk", "toxic"):
-        out[name]["bias"], out[name]["weights"] = fitted(rows, posts[name]) if patterns else (-1.0, np.zeros(DIMENSIONS))
+    for name, (bias, weights) in zip(posts, fits(rows, list(posts.values()))):
+        out[name]["bias"], out[name]["weights"] = bias, weights
     return out
 
 

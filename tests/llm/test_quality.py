@@ -88,3 +88,45 @@ def test_copies_count_once(spark):
     one = Q.train(spark.createDataFrame(rows, "doc_id long, text string"), None)
     two = Q.train(spark.createDataFrame(rows + [(1000 + k, rows[3][1]) for k in range(60)], "doc_id long, text string"), None)
     assert np.allclose(one["toxic"]["weights"], two["toxic"]["weights"], atol=1e-6) and one["toxic"]["posterior"] == two["toxic"]["posterior"]
+
+
+def some_rows(spark, n: int = 90):
+    rng = np.random.default_rng(7)
+    x = rng.random((n, 5)) < 0.5
+    x = np.concatenate([x, np.zeros((n, 1), bool)], axis=1)
+    pattern = rng.integers(0, 3, n)
+    return x, pattern, spark.createDataFrame([(int(p), np.flatnonzero(r).tolist()) for p, r in zip(pattern, x)], "pattern int, features array<int>").repartition(3)
+
+
+def test_gradients_reach_the_driver_in_blocks(spark):
+    """Sums of all partitions against plain ones; no piece holds a vector of all features, as results of whole gradients did."""
+    x, pattern, rows = some_rows(spark)
+    w, shares = np.zeros((2, Q.DIMENSIONS)), [{0: (0.9, 0.1), 1: (0.0, 1.0)}, {0: (0.3, 0.7), 1: (0.5, 0.5), 2: (0.2, 0.8)}]
+    w[:, :5] = [[1, -1, 0.5, 2, 0], [0, 0.3, -2, 1, 1]]
+    got = Q.gradients(rows, shares, [(0.25, w[0]), (-1.0, w[1])])
+    for total, bias, weights, own in zip(got, (0.25, -1.0), w, shares):
+        bad, good = np.array([own.get(int(p), (0, 0)) for p in pattern]).T
+        p = 1 / (1 + np.exp(-(x @ weights[:6] + bias)))
+        error = (bad + good) * p - bad
+        assert np.allclose(total[:6], error @ x) and not total[6:-2].any()
+        assert np.allclose(total[-2:], [error.sum(), -(bad * np.log(p) + good * np.log(1 - p)).sum()])
+    held = spark.sparkContext.broadcast((shares, [(0.0, w[0]), (0.0, w[1])]))
+    sizes = [len(r.sums) for r in rows.mapInArrow(Q._gradients(held), "block int, sums binary").collect()]
+    assert max(sizes) == 2 * 8 * Q.BLOCK and 16 * max(sizes) < 2 * 8 * Q.DIMENSIONS
+
+
+def test_scores_are_fitted_by_the_same_jobs(spark, monkeypatch):
+    """As one by one, and by no more jobs than the slower of them takes; where rows are all good ones, there is nothing to fit."""
+    _, _, rows = some_rows(spark)
+    jobs, run = [], Q.gradients
+    monkeypatch.setattr(Q, "gradients", lambda rows, shares, points: jobs.append(len(points)) or run(rows, shares, points))
+    posteriors = [{0: 0.9, 1: 0.1, 2: 0.02}, {0: 0.0, 1: 0.0, 2: 0.0005}, {0: 0.3, 1: 0.7, 2: 0.6}]
+    got, together = Q.fits(rows, posteriors), jobs[:]
+    each = []
+    for (bias, weights), own in zip(got, posteriors):
+        jobs.clear()
+        alone = Q.fitted(rows, own)
+        each.append(len(jobs))
+        assert np.allclose(weights, alone[1], atol=1e-4) and abs(bias - alone[0]) < 1e-4
+    assert got[1][0] == -1.0 and not got[1][1].any() and got[0][1].any() and got[2][1].any()
+    assert each[1] == 0 and len(together) <= max(each) + 2 and max(together) == 2
