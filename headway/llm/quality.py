@@ -42,112 +42,136 @@ INSULTS = ("idiot", "stupid", "moron", "loser", "pathetic", "scum", "worthless",
 JUNK = ("symbols", "marked", "shouting", "repeats", "separators", "runs")
 TOXIC = ("insult", "learned", "insults")
 U = np.uint64
-_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 97
 _CLASS[65:91], _CLASS[48:58] = 65, 48
-_SYMBOL = np.isin(_CLASS, [97, 65, 48]) ^ True
-_SYMBOL &= ~_BLANK & ~np.isin(np.arange(256), [*b".,;:'\"!?()-"])
-
-
-class Known(dict):
-    """xxh3 hashes of words, each worked out once while there are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-
-_KNOWN = Known()
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_ALNUM = np.isin(_CLASS, [97, 65, 48])
+_SYMBOL = ~_ALNUM & ~_BLANK & ~np.isin(np.arange(256), [*b".,;:'\"!?()-"])
+_LETTER = (_CLASS != np.arange(256)) | np.isin(np.arange(256), [97, 65])
+_BEHIND = np.isin(np.arange(256), [*b".,;:!?"])
+#: What a byte is, as bits, and tables for bytes.translate: that is several times as fast as an index by bytes.
+BLANK, SYMBOL, UPPER, LETTER = 1, 2, 4, 8
+_KINDS = (_BLANK * BLANK | _SYMBOL * SYMBOL | (_CLASS == 65) * UPPER | _LETTER * LETTER).astype(np.uint8).tobytes()
+#: Numbers of features below the words'.
+FIXED = 64 * 64
 
 
 class Batch:
-    """Word hashes, shapes and statistics of a batch of texts, laid end to end."""
+    """Words, shapes and statistics of a batch of texts, laid end to end. Each different word is hashed once."""
 
     def __init__(self, raw: list[bytes]):
-        body = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        blank = _BLANK[body]
+        from xxhash import xxh3_64_intdigest
+
+        joined = b"\n".join(raw) + b"\n"
+        body, kinds = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KINDS), np.uint8)
+        blank = (kinds & BLANK) != 0
         before = np.concatenate([[True], blank[:-1]])
         start, end = np.flatnonzero(before & ~blank), np.flatnonzero(blank & ~before)
-        ends = np.cumsum([len(x) + 1 for x in raw])
-        begins = ends - np.array([len(x) + 1 for x in raw])
-        self.n, self.of = len(raw), np.searchsorted(ends, start, side="right")
-        low = _LOWER[body]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        ends = np.cumsum(sizes + 1)
+        begins = ends - sizes - 1
+        n_words = np.diff(np.searchsorted(start, ends), prepend=0)
+        self.n, self.n_words, self.of = len(raw), n_words, np.repeat(np.arange(len(raw)), n_words)
         # words without punctuation behind them
-        bare = end - np.isin(body[end - 1], [*b".,;:!?"]) if len(end) else end
-        text = low.tobytes()
-        self.words = np.array([_KNOWN[text[a:b]] for a, b in zip(start.tolist(), bare.tolist())], U)
-        shape = _CLASS[body].astype(U)
-        at = lambda k: np.where(end - k >= start, shape[np.maximum(end - k, 0)], U(0))
-        self.shapes = at(1) | at(2) << U(8) | at(3) << U(16)
-
-        def per(mask):
-            total = np.concatenate([[0], np.cumsum(mask)])
-            return total[ends - 1] - total[begins]
-
-        words = np.bincount(self.of, minlength=self.n)
-        self.n_words = words
-        chars, some = np.maximum(per(~blank), 1), np.maximum(words, 1)
-        upper, letters = per((body >= 65) & (body < 91)), np.maximum(per(_CLASS[body] != body) + per((body == 97) | (body == 65)), 1)
-        double = np.zeros(len(start), bool)
-        if len(start):
-            double = (end - start > 2) & (body[end - 1] == body[end - 2]) & (_CLASS[body[end - 1]] != 97) & (_CLASS[body[end - 1]] != 48) & (_CLASS[body[end - 1]] != 65)
-        alone = (end - start == 1) & ~np.isin(_CLASS[body[start]], [97, 65, 48]) if len(start) else double
-        order = np.lexsort((self.words, self.of))
-        o, w = self.of[order], self.words[order]
-        different = np.bincount(o[np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])] if len(o) else o, minlength=self.n)
-        often = words > 20
-        same = np.concatenate([[False], (self.words[1:] == self.words[:-1]) & (self.of[1:] == self.of[:-1])]) if len(start) else double
+        last = body[end - 1]
+        behind = _BEHIND[last]
+        kept = ~blank
+        kept[end[behind] - 1] = False
+        offsets = np.concatenate([[0], np.cumsum(end - start - behind)]).astype(np.int32)
+        low = np.compress(kept, np.frombuffer(joined.lower(), np.uint8))
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False)
+        self.hashes, self.code = np.fromiter(map(xxh3_64_intdigest, different), U, len(different)), coded.indices.to_numpy()
+        self._body, self._start, self._end = body, start, end
+
+        def per(kind):
+            own = (kinds & kind) != 0
+            return np.array([np.count_nonzero(own[a:b]) for a, b in zip(begins.tolist(), (ends - 1).tolist())], np.int64)
+
+        chars, some = np.maximum(sizes - per(BLANK), 1), np.maximum(n_words, 1)
+        count = lambda m: np.bincount(self.of[m], minlength=self.n)
+        double = ~_ALNUM[last] & (end - start > 2)
+        double[double] = body[end[double] - 2] == last[double]
+        alone = (end - start == 1) & ~_ALNUM[last]
+        # each word of a document once
+        pair = distinct(self.of * len(different) + self.code)
+        self._word_of, self._word = pair // max(len(different), 1), pair % max(len(different), 1)
+        self._often = n_words > 20
+        same = np.concatenate([[False], (self.code[1:] == self.code[:-1]) & (self.of[1:] == self.of[:-1])])[: len(start)]
         # parts of: symbols, doubled signs, capitals, different words, signs that stand alone, words said twice
-        parts = np.stack([
-            per(_SYMBOL[body]) / chars, np.bincount(self.of, weights=double, minlength=self.n) / some, upper / letters,
-            different / some, np.bincount(self.of, weights=alone, minlength=self.n) / some, np.bincount(self.of, weights=same, minlength=self.n) / np.maximum(some, 10),
+        self._parts = np.stack([
+            per(SYMBOL) / chars, count(double) / some, per(UPPER) / np.maximum(per(LETTER), 1),
+            np.bincount(self._word_of, minlength=self.n) / some, count(alone) / some, count(same) / np.maximum(some, 10),
         ], axis=1)
-        self.junk = np.stack([parts[:, 0] > 0.08, parts[:, 1] > 0.2, (parts[:, 2] > 0.5) & often, often & (parts[:, 3] < 0.1), parts[:, 4] > 0.15, parts[:, 5] > 0.1], axis=1)
-        # a step for each statistic, with whether the text is long enough to tell
-        self.steps = (np.searchsorted(STEPS, parts) * 2 + often[:, None]) * parts.shape[1] + np.arange(parts.shape[1])
+
+    @property
+    def words(self) -> np.ndarray:
+        """The hash of each word."""
+        return self.hashes[self.code]
 
     def votes(self, given: np.ndarray, learned: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.junk, self.toxic(given, learned)], axis=1).astype(np.int64)
+        parts, often = self._parts, self._often
+        junk = [parts[:, 0] > 0.08, parts[:, 1] > 0.2, (parts[:, 2] > 0.5) & often, often & (parts[:, 3] < 0.1), parts[:, 4] > 0.15, parts[:, 5] > 0.1]
+        return np.concatenate([np.stack(junk, axis=1), self.toxic(given, learned)], axis=1).astype(np.int64)
 
     def toxic(self, given: np.ndarray, learned: np.ndarray) -> np.ndarray:
-        known, read = np.isin(self.words, given), np.isin(self.words, learned)
-        count = lambda m: np.bincount(self.of, weights=m, minlength=self.n)
+        known, read = np.isin(self.hashes, given), np.isin(self.hashes, learned)
+        count = lambda m: np.bincount(self.of[m[self.code]], minlength=self.n)
         return np.stack([count(known) > 0, count(read) > 0, count(known | read) > 1], axis=1)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Document and feature, each pair once. Classes and steps stand below the words' numbers, of which there are the rest."""
-        fixed = 64 * 64
-        shape = self.shapes % U(fixed - 256)
-        number = lambda h: h % U(DIMENSIONS - fixed) + U(fixed)
-        f = np.concatenate([number(self.words), shape + U(256), self.steps[self.n_words > 0].astype(U).ravel()])
-        doc = np.concatenate([self.of, self.of, np.repeat(np.flatnonzero(self.n_words > 0), self.steps.shape[1])])
-        pair = np.unique(doc.astype(U) * U(DIMENSIONS) + f)
-        return (pair // U(DIMENSIONS)).astype(np.int64), (pair % U(DIMENSIONS)).astype(np.int64)
+        end, length = self._end, self._end - self._start
+        at = lambda k: np.where(length >= k, _CLASS[self._body[np.maximum(end - k, 0)]], 0).astype(np.uint32)
+        shape = (at(1) | at(2) << np.uint32(8) | at(3) << np.uint32(16)) % np.uint32(FIXED - 256)
+        fixed = np.zeros((self.n, FIXED), bool)
+        fixed[self.of, shape + np.uint32(256)] = True
+        # a step for each statistic, with whether the text is long enough to tell
+        steps = (np.searchsorted(STEPS, self._parts) * 2 + self._often[:, None]) * self._parts.shape[1] + np.arange(self._parts.shape[1])
+        some = np.flatnonzero(self.n_words)
+        fixed[some[:, None], steps[some]] = True
+        doc, low = np.nonzero(fixed)
+        number = (self.hashes % U(DIMENSIONS - FIXED) + U(FIXED)).astype(np.int64)
+        pair = distinct(np.concatenate([doc * DIMENSIONS + low, self._word_of * DIMENSIONS + number[self._word]]))
+        return pair // DIMENSIONS, pair % DIMENSIONS
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in ascending order: a sort takes less time than np.unique's table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
 
 
 def hashed(words: list[str]) -> np.ndarray:
     return Batch([w.encode() for w in words]).words if words else np.zeros(0, U)
 
 
-def insult_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[str]:
-    """Words that toxic rows have and others hardly have, from a bounded number of labelled rows."""
+def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and toxic of a bounded number of labelled rows."""
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id"), "toxic").limit(most).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return some.orderBy(F.xxhash64("doc_id"), "toxic").limit(most).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def labelled_words(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """toxic, group and word of each labelled row: its words once each."""
     rows = texts(docs).join(F.broadcast(some), "doc_id")  # `most` rows of two numbers
     words = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}']+"), F.lit(0))).alias("w"))
     # near copies mostly share their least word hash, and count once
-    words = words.select("toxic", F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("group"), "w").select("toxic", "group", F.explode("w").alias("word"))
+    words = words.select("toxic", F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("group"), "w")
+    # a plain explode lets Spark ask all documents, before the join, whether they have words
+    return words.select("toxic", "group", F.explode_outer("w").alias("word")).where("word IS NOT NULL")
+
+
+def insult_words(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[str]:
+    """Words that toxic rows have and others hardly have, from a bounded number of labelled rows."""
+    some = labelled(labels, most)
     n = {r.toxic: r.n for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return []
-    counts = words.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("group"))).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = labelled_words(docs, some).groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("group"))).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     chosen = counts.where((F.col("a") >= max(3, 0.01 * n[1])) & (F.col("a") / n[1] > 200 * F.col("b") / n[0]))
     return [r.word for r in chosen.orderBy("word").collect()]
 
@@ -177,7 +201,7 @@ def _voted(given: np.ndarray, learned: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, size=400_000):
-            votes = Batch([x.encode() for x in b.column("text").to_pylist()]).votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
+            votes = Batch(b.column("text").cast(pa.binary()).to_pylist()).votes(given, learned) @ (1 << np.arange(len(JUNK) + len(TOXIC)))
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(votes.astype(np.int32))], ["digest", "pattern"])
 
     return run
@@ -186,7 +210,7 @@ def _voted(given: np.ndarray, learned: np.ndarray):
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of each text, as one list."""
     for b in slices(batches, size=400_000):
-        own = Batch([x.encode() for x in b.column("text").to_pylist()])
+        own = Batch(b.column("text").cast(pa.binary()).to_pylist())
         doc, feature = own.features()
         ends = np.searchsorted(doc, np.arange(own.n + 1))
         yield pa.RecordBatch.from_arrays([b.column("pattern"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["pattern", "features"])
@@ -343,7 +367,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in slices(batches, size=400_000):
-            own = Batch([x.encode() for x in b.column(1).to_pylist()])
+            own = Batch(b.column(1).cast(pa.binary()).to_pylist())
             doc, feature = own.features()
             s = [h["bias"] + np.bincount(doc, weights=h["weights"][feature], minlength=own.n) for h in (m["junk"], m["toxic"])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s[0]), pa.array(s[1])], ["doc_id", "text", "junk_score", "toxic_score"])
