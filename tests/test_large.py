@@ -11,3 +11,7 @@ def plan(df):
 
 def test_labels_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["j_first_misses"](spark, SF))
+
+
+def test_city_miss_broadcasts_no_passings(spark):
+    assert "BroadcastHashJoin" not in plan(catalog.QUERIES["a_city_miss"](spark, SF))
