@@ -15,3 +15,7 @@ def test_labels_are_not_broadcast(spark):
 
 def test_city_miss_broadcasts_no_passings(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["a_city_miss"](spark, SF))
+
+
+def test_departures_broadcast_no_trips(spark):
+    assert "BroadcastHashJoin" not in plan(catalog.QUERIES["r_departures"](spark, SF))
