@@ -1,6 +1,7 @@
 """What larger tables need: small tables are broadcast by their size in a file, of which keys that follow each other take next to nothing."""
 
 from headway import catalog
+from headway.operators import relational as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +20,11 @@ def test_city_miss_broadcasts_no_passings(spark):
 
 def test_departures_broadcast_no_trips(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["r_departures"](spark, SF))
+
+
+def test_newest_rows_are_joined_to_nothing(spark):
+    """What a bucket inherits comes by rows, so that no array of many rows goes through a join or a shuffle."""
+    asks, events = spark.range(3).selectExpr("id AS ask", "'a' AS key", "id * 1.5D AS now"), spark.range(9).selectExpr("'a' AS key", "id / 4D AS t", "id AS e")
+    got = R.newest_before(asks, events, ["key"], "now", "t", ["e"], 4, 1.0)
+    assert "Join" not in plan(got)
+    assert {r.ask: [g.e for g in r.got] for r in got.collect()} == {0: [0], 1: [3, 4, 5, 6], 2: [5, 6, 7, 8]}
