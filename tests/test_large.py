@@ -1,7 +1,7 @@
 """What larger tables need: small tables are broadcast by their size in a file, of which keys that follow each other take next to nothing."""
 
 from headway import catalog
-from headway.operators import relational as R
+from headway.operators import relational as R, tracker as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +28,25 @@ def test_newest_rows_are_joined_to_nothing(spark):
     got = R.newest_before(asks, events, ["key"], "now", "t", ["e"], 4, 1.0)
     assert "Join" not in plan(got)
     assert {r.ask: [g.e for g in r.got] for r in got.collect()} == {0: [0], 1: [3, 4, 5, 6], 2: [5, 6, 7, 8]}
+
+
+def test_vehicles_are_folded_once(spark):
+    """Runs are numbered through from the fold's own rows, not from a second fold."""
+    schema = "veh long, fix long, trip long, ts double, x double, y double, speed double, odometer double"
+    line = spark.sql("SELECT 1L AS trip, array(named_struct('x', 0D, 'y', 0D, 'cum', 0D), named_struct('x', 1000D, 'y', 0D, 'cum', 1000D)) AS line")
+    fixes = spark.createDataFrame([(5, k, 1, t, 8.0 * k, 0.0, 8.0, None) for k, t in enumerate((0.0, 1.0, 2.0, 900.0, 901.0))], schema)
+    got = T.track(fixes, line)
+    assert plan(got).count("InArrow") == 1
+    assert [r.run for r in got.orderBy("ts").collect()] == [1, 1, 1, 2, 2]
+
+
+def test_short_searches_equal_long_ones():
+    line = T.Line([{"x": 100.0 * k, "y": 30.0 * (k % 3), "cum": 110.0 * k} for k in range(12)])
+    places = [(37.0 * k, 11.0 * k % 70 - 20) for k in range(35)]
+    short = [line.nearest(x, y) for x, y in places]
+    line.SHORT = 0
+    assert short == [line.nearest(x, y) for x, y in places]
+
+
+def test_timetable_broadcasts_nothing(spark):
+    assert "BroadcastHashJoin" not in plan(catalog.QUERIES["a_prior"](spark, SF))
