@@ -50,3 +50,31 @@ def test_short_searches_equal_long_ones():
 
 def test_timetable_broadcasts_nothing(spark):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES["a_prior"](spark, SF))
+
+
+def test_places_are_looked_up_once(spark):
+    """A thousand points and others of two places make few pairs, not a million; of others at one place the least wins."""
+    points = spark.range(1000).selectExpr("id AS fix", "id % 2 * 50D AS x", "0D AS y")
+    others = spark.range(1000).selectExpr("id + 7 AS stop", "id % 2 * 50D AS x", "1D AS y")
+    got = R.nearest(points, others, "fix", "stop", 400.0, 400.0)
+    assert {(r.stop, r.metres) for r in got.collect()} == {(7, 1.0), (8, 1.0)} and got.count() == 1000
+    most = max(made(got))
+    assert most < 20000
+
+
+def made(df):
+    """Rows that each step of a query made."""
+    rows, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while open_:
+        p = open_.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            open_.append(p.executedPlan())
+            continue
+        if "QueryStage" in name:
+            open_.append(p.plan())
+        if p.metrics().contains("numOutputRows"):
+            rows.append(p.metrics().apply("numOutputRows").value())
+        open_ += [p.children().apply(k) for k in range(p.children().size())]
+    return rows
