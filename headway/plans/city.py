@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headway.functions import scalar as S, words as W
-from headway.operators import folds
+from headway.operators import folds, relational as R
 from headway.plans.service import _CALLS, calls
 from headway.sources.tables import relation, sql
 
@@ -197,12 +197,17 @@ def j_same_way(spark: SparkSession, sf: str) -> DataFrame:
         return df.select(k, S.to_x(F.col("lon")).alias(f"{k}_x"), S.to_y(F.col("lat")).alias(f"{k}_y"), F.radians((F.col(k) * turn % 360).cast("double")).alias(f"{k}_h"))
 
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    f = of(relation(spark, sf, "fixes"), "fix", 53).withColumn("gx", F.floor(F.col("fix_x") / 200)).withColumn("gy", F.floor(F.col("fix_y") / 200))
-    s = of(relation(spark, sf, "stops"), "stop", 37).withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
+    # a place and heading is looked up once, whatever stands on it
+    fixes, drawn = of(relation(spark, sf, "fixes"), "fix", 53), ["stop_x", "stop_y", "stop_h"]
+    asked = ["fix_x", "fix_y", "fix_h"]
+    f = fixes.select(*asked).distinct().withColumn("gx", F.floor(F.col("fix_x") / 200)).withColumn("gy", F.floor(F.col("fix_y") / 200))
+    s = of(relation(spark, sf, "stops"), "stop", 37).groupBy(*drawn).agg(F.min("stop").alias("stop")).withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
     s = s.withColumn("gx", F.floor(F.col("stop_x") / 200) + F.col("i")).withColumn("gy", F.floor(F.col("stop_y") / 200) + F.col("j"))
     d = F.pow(F.col("stop_x") - F.col("fix_x"), F.lit(2)) + F.pow(F.col("stop_y") - F.col("fix_y"), F.lit(2))
     same = F.cos("stop_h") * F.cos("fix_h") + F.sin("stop_h") * F.sin("fix_h") > 0.7
-    return f.join(s, ["gx", "gy"]).withColumn("d", d).where((F.col("d") < 200 * 200) & same).groupBy("fix").agg(F.min_by("stop", F.struct("d", "stop")).alias("stop"))
+    met = f.join(R.large(s), ["gx", "gy"]).withColumn("d", d).where((F.col("d") < 200 * 200) & same)
+    best = met.groupBy(*asked).agg(F.min(F.struct("d", "stop")).alias("m"))
+    return fixes.join(R.large(best), asked).groupBy("fix").agg(F.min("m").alias("m")).select("fix", "m.stop")
 
 
 @query(sql("fixes") + f""", told AS (SELECT fix, veh, veh_ts FROM fixes WHERE kind = 'view'), went AS (SELECT veh, veh_ts, dist % 240 AS gap FROM fixes WHERE kind = 'purchase'),
