@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -205,10 +208,33 @@ def a_routes_of_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trailing_miss(fixes: DataFrame) -> DataFrame:
-    f = fixes.select("fix", "trip", "veh_ts", "ratio", F.floor(F.col("veh_ts") / 86400).alias("d"))
-    b = f.select("trip", F.col("veh_ts").alias("t"), F.col("ratio").alias("r"), F.explode(F.array("d", F.col("d") + 1)).alias("d"))
-    met = f.join(b, ["trip", "d"]).where("t BETWEEN veh_ts - 86400 AND veh_ts")
-    return met.groupBy("fix", "trip").agg(F.count(F.lit(1)).alias("n"), F.median("r").alias("miss"))
+    """fix, trip, n, miss: a fold over a trip's day and the day before it, that keeps the ratios of the trailing day in order, so that no pairs are made."""
+    f = fixes.select("fix", "trip", "veh_ts", F.col("ratio").cast("double").alias("ratio"), F.floor(F.col("veh_ts") / 86400).alias("d")).dropna(subset=["trip", "veh_ts"])
+    both = f.select("fix", "trip", "veh_ts", "ratio", F.explode(F.array(F.struct("d", F.lit(True).alias("asks")), F.struct((F.col("d") + 1).alias("d"), F.lit(False).alias("asks")))).alias("g"))
+    rows = both.select("fix", "trip", "veh_ts", "ratio", "g.d", "g.asks")
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("trip", "d").applyInArrow(_medians, f"fix {kinds['fix']}, trip {kinds['trip']}, n long, miss double")
+
+
+def _medians(group: pa.Table) -> pa.Table:
+    group = group.sort_by("veh_ts")
+    fix, ts, ratio, asks = (group.column(c).to_pylist() for c in ("fix", "veh_ts", "ratio", "asks"))
+    held, out, first, last = [], [], 0, 0
+    for k, now in enumerate(ts):
+        if not asks[k]:
+            continue
+        while last < len(ts) and ts[last] <= now:  # those of the same second are in
+            if ratio[last] is not None:
+                insort(held, ratio[last])
+            last += 1
+        while ts[first] < now - 86400:
+            if ratio[first] is not None:
+                del held[bisect_left(held, ratio[first])]
+            first += 1
+        m = len(held)
+        out.append((k, last - first, (held[(m - 1) // 2] + held[m // 2]) / 2 if m else None))
+    at = pa.array([r[0] for r in out], pa.int64())
+    return pa.table({"fix": group.column("fix").take(at), "trip": group.column("trip").take(at), "n": pa.array([r[1] for r in out], pa.int64()), "miss": pa.array([r[2] for r in out], pa.float64())})
 
 
 @query(sql("fixes") + " SELECT a.fix, a.trip, count(b.fix) AS n, median(b.ratio) AS miss FROM fixes a JOIN fixes b ON b.trip = a.trip AND b.veh_ts BETWEEN a.veh_ts - 86400 AND a.veh_ts GROUP BY 1, 2")

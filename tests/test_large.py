@@ -2,6 +2,7 @@
 
 from headway import catalog
 from headway.operators import relational as R, tracker as T
+from headway.plans.engine import _trailing_miss
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,12 @@ def made(df):
             rows.append(p.metrics().apply("numOutputRows").value())
         open_ += [p.children().apply(k) for k in range(p.children().size())]
     return rows
+
+
+def test_trailing_miss_makes_no_pairs(spark):
+    """The median of the trailing day, both ends included and those of the same second too, without a join of fixes with fixes."""
+    day = 86400
+    rows = [(0, 1, 5, 0.4), (1, 1, 5, 0.1), (2, 1, 5 + day, 0.9), (3, 1, 6 + day, 0.3), (4, 1, 7 + 3 * day, None), (5, 2, 6, 0.7)]
+    got = _trailing_miss(spark.createDataFrame(rows, "fix long, trip long, veh_ts long, ratio double"))
+    assert "Join" not in plan(got)
+    assert {r.fix: (r.n, r.miss) for r in got.collect()} == {0: (2, 0.25), 1: (2, 0.25), 2: (3, 0.4), 3: (2, 0.6), 4: (1, None), 5: (1, 0.7)}
