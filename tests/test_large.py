@@ -88,3 +88,9 @@ def test_trailing_miss_makes_no_pairs(spark):
     got = _trailing_miss(spark.createDataFrame(rows, "fix long, trip long, veh_ts long, ratio double"))
     assert "Join" not in plan(got)
     assert {r.fix: (r.n, r.miss) for r in got.collect()} == {0: (2, 0.25), 1: (2, 0.25), 2: (3, 0.4), 3: (2, 0.6), 4: (1, None), 5: (1, 0.7)}
+
+
+def test_chains_are_not_sorted(spark):
+    """Pairs of trips come out of the join as they are; windows are over trips."""
+    text = plan(catalog.QUERIES["j_chain"](spark, SF))
+    assert text.index("Join") < text.index("Window")
