@@ -94,3 +94,12 @@ def test_chains_are_not_sorted(spark):
     """Pairs of trips come out of the join as they are; windows are over trips."""
     text = plan(catalog.QUERIES["j_chain"](spark, SF))
     assert text.index("Join") < text.index("Window")
+
+
+def test_forecasts_meet_trips_by_a_merge_join(spark, monkeypatch):
+    from headway.plans import layovers
+
+    plans, stage = [], layovers.stage
+    monkeypatch.setattr(layovers, "stage", lambda df: plans.append(plan(df)) or stage(df))
+    catalog.QUERIES["m_arrivals"](spark, SF)
+    assert plans and "BroadcastHashJoin" not in plans[0]
